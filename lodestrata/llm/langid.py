@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import held_out, per_batch, small_batches
-from .words import WordTable, bucket, ragged_sum
+from .words import WordTable, bucket, hashed_grams, ragged_sum
 
 #: Rows of each language that a model is fitted on, at most.
 SAMPLE_ROWS = 400
@@ -40,19 +40,18 @@ class Features:
     def __init__(self, lexicon: dict[str, int], buckets: int = BUCKETS):
         self.lexicon, self.buckets = lexicon, buckets
 
-    def of(self, w: str) -> list[int]:
-        w = w[:64]  # of the word's letters; the text's words all count
-        f = {f"w{w}"} | {f"p{w[:k]}" for k in (1, 2, 3)} | {f"s{w[-k:]}" for k in (1, 2, 3, 4)}
-        b = f"<{w}>"
-        f.update(b[i : i + k] for k in (2, 3) for i in range(len(b) - k + 1))
-        if w in self.lexicon:
-            f.add(f"lex{self.lexicon[w]}")
-        return [bucket(x, self.buckets) for x in f]
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, number of the word) pairs; empty words have none."""
+        words = [w[:64] for w in words]  # of a word's letters; the text's words all count
+        found, own = hashed_grams(words, (2, 3), self.buckets, prefixes=(1, 2, 3), suffixes=(1, 2, 3, 4))
+        marked = [(bucket(f"lex{k}", self.buckets), i) for i, k in enumerate(map(self.lexicon.get, words)) if k is not None]
+        more = np.array(marked, np.int64).reshape(-1, 2)
+        return np.concatenate([found, more[:, 0]]), np.concatenate([own, more[:, 1]])
 
-    def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The features of the words one after another, and how many each has (none for empty words)."""
-        got = [self.of(w) if w else [] for w in words]
-        return np.array([x for g in got for x in g], np.int64), np.fromiter(map(len, got), np.int64, len(got))
+
+def summed(weights: np.ndarray, found: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows weights[found] by owner."""
+    return np.stack([np.bincount(own, column[found], n) for column in weights.T], axis=1)
 
 
 def find_lexicon(by_label: list[Counter], least: int = 5, share: float = 0.8) -> dict[str, int]:
@@ -78,9 +77,8 @@ class Crf:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Log potentials of each word's labels; then one column that tells whether it has letters."""
         bares = [bare(w) for w in words]
-        flat, n = self.features.flat(bares)
-        e = ragged_sum(self.weights, flat, n)
-        return np.concatenate([e, (n > 0)[:, None]], axis=1)
+        e = summed(self.weights, *self.features.of(bares), len(bares))
+        return np.concatenate([e, np.array([bool(b) for b in bares])[:, None]], axis=1)
 
     def marginal_sums(self, texts: list[str | None], words: bool = False):
         """Sums over each text's words with letters of their label marginals, and the number of those words.
@@ -196,15 +194,14 @@ def fit(rows: list[tuple[str, str]], sequences: int = SEQUENCES, length: int = L
     used, words = np.unique(words, return_inverse=True)
     words = words.reshape(gold.shape)
     names = list(known)
-    flat, n = model.features.flat([names[i] for i in used])
+    found, owner = model.features.of([names[i] for i in used])
     target = np.zeros((len(used), k))
     np.add.at(target, (words.ravel(), gold.ravel()), 1)
     gold_pairs = np.bincount((gold[:, :-1] * k + gold[:, 1:]).ravel(), minlength=k * k).reshape(k, k)
     params = [model.weights, model.transitions]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    owner = np.repeat(np.arange(len(used)), n)
     for epoch in range(1, epochs + 1):
-        log_e = ragged_sum(model.weights, flat, n)[words]
+        log_e = summed(model.weights, found, owner, len(used))[words]
         e, a = np.exp(log_e - log_e.max(axis=2, keepdims=True)), np.exp(model.transitions)
         alpha, beta = np.empty_like(e), np.ones_like(e)
         for t in range(length):
@@ -219,7 +216,7 @@ def fit(rows: list[tuple[str, str]], sequences: int = SEQUENCES, length: int = L
         pairs /= pairs.sum(axis=(2, 3), keepdims=True)
         expect = np.stack([np.bincount(words.ravel(), gamma[:, :, j].ravel(), len(used)) for j in range(k)], axis=1)
         slope = (target - expect) / sequences
-        grads = [np.stack([np.bincount(flat, slope[owner, j], buckets) for j in range(k)], axis=1) - decay * model.weights / 10, (gold_pairs - pairs.sum(axis=(0, 1))) / sequences - decay * model.transitions]
+        grads = [np.stack([np.bincount(found, slope[owner, j], buckets) for j in range(k)], axis=1) - decay * model.weights / 10, (gold_pairs - pairs.sum(axis=(0, 1))) / sequences - decay * model.transitions]
         for p, g, (m1, m2) in zip(params, grads, moments):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)

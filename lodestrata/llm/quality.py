@@ -7,29 +7,24 @@ Vectors and output are learned by numpy stochastic gradient descent.
 """
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import held_out, per_batch, small_batches
-from .langid import sample
-from .words import WordTable, bucket, ragged_sum
+from .langid import sample, summed
+from .words import WordTable, hashed_grams, ragged_sum
 
 #: Labelled rows of each label that a model is fitted on, at most.
 SAMPLE_ROWS = 2000
 BUCKETS, SIZE = 1 << 17, 10
-REPEAT = "\x00repeat"
-
-
-def features(word: str, buckets: int = BUCKETS) -> list[int]:
-    w = word[:64]
-    b = f"<{w}>"
-    f = {f"w{w}"} | {b[i : i + k] for k in (3, 4, 5) for i in range(len(b) - k + 1)}
-    return [bucket(x, buckets) for x in f]
+REPEAT = "\x01repeat"
 
 
-def _flat(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    got = [features(w, buckets) for w in words]
-    return np.array([x for g in got for x in g], np.int64), np.fromiter(map(len, got), np.int64, len(got))
+def features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of the word) pairs."""
+    return hashed_grams([w[:64] for w in words], (3, 4, 5), buckets)
 
 
 class Quality:
@@ -41,8 +36,8 @@ class Quality:
         return self.__dict__ | {"table": None}
 
     def word_vectors(self, words: list[str]) -> np.ndarray:
-        flat, n = _flat(words, len(self.vectors))
-        return ragged_sum(self.vectors, flat, n) / np.maximum(n, 1)[:, None]
+        found, own = features(words, len(self.vectors))
+        return summed(self.vectors, found, own, len(words)) / np.maximum(np.bincount(own, minlength=len(words)), 1)[:, None]
 
     def document_vectors(self, texts: list[str | None]) -> np.ndarray:
         if self.table is None:
@@ -70,21 +65,16 @@ def fit(rows: list[tuple[str, int]], size: int = SIZE, buckets: int = BUCKETS, e
         model.bias[:] = (0, 4) if len(y) and y[0] else (4, 0) if len(y) else (0, 0)
         return model
     # each document once as weights of its features, which sum to 1
-    own: dict[str, np.ndarray] = {}
     bags = []
     for text, _ in rows:
         ws = (text or "").split()
         ws += [REPEAT] * sum(a == b for a, b in zip(ws, ws[1:]))
-        got = []
-        for w in ws:
-            if w not in own:
-                own[w] = np.array(features(w, buckets), np.int64)
-            got.append(own[w])
-        f = np.concatenate(got) if got else np.zeros(0, np.int64)
-        share = np.repeat([1 / (len(g) * len(ws)) for g in got], [len(g) for g in got]) if got else np.zeros(0)
-        u, at = np.unique(f, return_inverse=True)
-        bags.append((u, np.bincount(at, share, len(u)).astype(np.float32)))
-    del own
+        counts = Counter(ws)
+        names, times = list(counts), np.array(list(counts.values()), float)
+        found, own = features(names, buckets)
+        share = times / max(1, len(ws)) / np.maximum(np.bincount(own, minlength=len(names)), 1)
+        u, at = np.unique(found, return_inverse=True)
+        bags.append((u, np.bincount(at, share[own], len(u)).astype(np.float32)))
     weight = (len(y) / (2 * np.bincount(y, minlength=2)))[y]
     for epoch in range(epochs):
         order = rng.permutation(len(y))
