@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import LongType
 
+from . import mixers
+
 U = np.uint64
 # Fixed values of the word-mix hash.
 SEED = U(0xBC4A78EB0E083FB5)
@@ -79,7 +81,7 @@ def _oaat(h, b):
 fnv = bytewise(lambda h, b: ((h ^ b) * U(16777619)) & LOW32, 2166136261)
 bernstein = bytewise(lambda h, b: (h * U(33) + b) & LOW32)
 oaat = bytewise(_oaat)
-VECTOR = {"wordmix64": wordmix, "wordmix32": lambda keys: wordmix(keys, True), "fnv": fnv, "bernstein": bernstein, "oaat": oaat}
+VECTOR = {"wordmix64": wordmix, "wordmix32": lambda keys: wordmix(keys, True), "fnv": fnv, "bernstein": bernstein, "oaat": oaat, **mixers.ALL}
 
 
 def vectorised(name: str):
@@ -88,7 +90,7 @@ def vectorised(name: str):
 
     @F.pandas_udf(LongType())
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(fn([bytes(x) if x is not None else b"" for x in s]).view(np.int64)).where(s.notna().to_numpy()).astype("Int64")
+        return pd.Series(fn([bytes(x) if x is not None else b"" for x in s]).astype(U).view(np.int64)).where(s.notna().to_numpy()).astype("Int64")
 
     return lambda c: run(c.cast("binary"))
 
@@ -106,8 +108,9 @@ REGISTRY = {n: (lambda c, n=n: vectorised(n)(c)) for n in VECTOR} | {
 
 def verification(fn, width: int = 4) -> int:
     """Code of a seeded hash: keys {}, {0}, {0, 1}, ... with seeds 256, 255, ..., then the list of results."""
-    parts = [int(fn([bytes(range(i))], 256 - i)[0]).to_bytes(width, "little") for i in range(256)]
-    return int(fn([b"".join(parts)], 0)[0]) & 0xFFFFFFFF
+    digest = lambda key, seed: fn([key], seed)[0].tobytes()[:width]
+    whole = b"".join(digest(bytes(range(i)), 256 - i) for i in range(256))
+    return int.from_bytes(digest(whole, 0)[:4], "little")
 
 
 def wrapping_multiply(a: Column, b: int) -> Column:

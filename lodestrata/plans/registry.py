@@ -184,6 +184,11 @@ def hash_bytewise(spark, sf_dir) -> DataFrame:
     return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in ("fnv", "bernstein", "oaat", "crc32", "sha1_32")])
 
 
+@query()
+def hash_mixers(spark, sf_dir) -> DataFrame:
+    return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in hashing.mixers.ALL])
+
+
 @query(f"WITH {HASHED} SELECT event_id, (h & 16777215)::BIGINT AS p0, ((h >> 24) & 16777215)::BIGINT AS p1 FROM hashed")
 def bloom_positions(spark, sf_dir) -> DataFrame:
     d = _event_keys(spark, sf_dir).withColumn("h", hashing.REGISTRY["wordmix64"](F.col("k")))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import hashing, keysets
+from lodestrata.functions import hashing, keysets, mixers
 from lodestrata.operators import access, bloom, layout, merge, report, txn
 from lodestrata.plans.util import ordered
 from lodestrata.sources.views import txn_ops
@@ -22,6 +22,11 @@ def test_wordmix_vectors(key, value):
     assert int(hashing.wordmix([key])[0]) == value
 
 
+@pytest.mark.parametrize("name,width,code", [("murmur2", 4, 0x27864C1E), ("murmur2a", 4, 0x7FBD4396), ("murmur2_64", 8, 0x1F0D3804), ("murmur2_64_by_32", 8, 0xDD537C05), ("murmur3a", 4, 0xB0F57EE3), ("murmur3f", 16, 0x6384BA69), ("fasthash64", 8, 0x03280FE7), ("fasthash32", 4, 0xCE25265D), ("superfast", 4, 0x980ACD1D), ("crap8", 4, 0x743E97A1), ("lookup3", 4, 0x3D83917A)])
+def test_mixer_codes(name, width, code):
+    assert hashing.verification(getattr(mixers, name), width) == code
+
+
 def test_hash_columns_take_null_and_mixed_lengths(spark):
     d = spark.createDataFrame([("a",), (None,), ("x" * 70,), ("",)], "s string")
     got = [r[0] for r in d.select(hashing.REGISTRY["wordmix64"](F.col("s"))).collect()]
