@@ -169,7 +169,7 @@ def hash_wordmix64(spark, sf_dir) -> DataFrame:
     return _event_keys(spark, sf_dir).select("event_id", F.lower(F.lpad(F.hex(hashing.REGISTRY["wordmix64"](F.col("k"))), 16, "0")).alias("h"))
 
 
-@query()
+@query(f"WITH {HASHED} SELECT event_id, (xor(h, h >> 32) & 4294967295)::BIGINT AS h FROM s2")
 def hash_wordmix32(spark, sf_dir) -> DataFrame:
     return _event_keys(spark, sf_dir).select("event_id", hashing.REGISTRY["wordmix32"](F.col("k")).alias("h"))
 
@@ -179,14 +179,19 @@ def hash_registry(spark, sf_dir) -> DataFrame:
     return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in ("md5_32", "constant")])
 
 
-@query()
+FOLD = "list_reduce(list_prepend({start}::BIGINT, [ascii(substr(k, i, 1))::BIGINT FOR i IN range(1, length(k) + 1)]), lambda a, b: {step})"
+OAAT = "((xor(a, b) * 1540483477) & 4294967295)"
+
+
+@query(f"""SELECT event_id, {FOLD.format(start=2166136261, step="(xor(a, b) * 16777619) & 4294967295")} AS fnv, {FOLD.format(start=0, step="(a * 33 + b) & 4294967295")} AS bernstein,
+ {FOLD.format(start=0, step=f"xor({OAAT}, {OAAT} >> 15)")} AS oaat, ('0x' || substr(sha1(k), 7, 2) || substr(sha1(k), 5, 2) || substr(sha1(k), 3, 2) || substr(sha1(k), 1, 2))::BIGINT AS sha1_32 FROM (SELECT event_id, 'key-' || lpad(event_id::VARCHAR, 8, '0') AS k FROM events)""")
 def hash_bytewise(spark, sf_dir) -> DataFrame:
-    return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in ("fnv", "bernstein", "oaat", "crc32", "sha1_32")])
+    return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in ("fnv", "bernstein", "oaat", "sha1_32")])
 
 
 @query()
 def hash_mixers(spark, sf_dir) -> DataFrame:
-    return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in hashing.mixers.ALL])
+    return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in (*hashing.mixers.ALL, "crc32", "xxh64")])
 
 
 @query(f"WITH {HASHED} SELECT event_id, (h & 16777215)::BIGINT AS p0, ((h >> 24) & 16777215)::BIGINT AS p1 FROM hashed")
@@ -410,7 +415,9 @@ def bench_series(spark, sf_dir) -> DataFrame:
     return report.load_series(spark, path).withColumn("y", F.round("y", 6))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT value, row_number() OVER (ORDER BY value) AS rn, count(*) OVER () AS n, avg(value) OVER w AS a, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT 1073741824::BIGINT AS x, 0::BIGINT AS size UNION ALL SELECT f.x >> 1, CASE WHEN o.rn < o.n AND o.value <= o.a + 3 * o.s THEN f.size | f.x ELSE f.size END FROM f LEFT JOIN o ON o.rn = (f.size | f.x) WHERE f.x > 0)
+SELECT count(*) AS kept, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev, max(value) AS most FROM o WHERE rn <= (SELECT max(size) FROM f WHERE x = 0)""")
 def bench_outliers(spark, sf_dir) -> DataFrame:
     d = report.trim_outliers(table(spark, sf_dir, "events"), "value")
     return d.agg(F.count("*").alias("kept"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("stdev"), F.max("value").alias("most"))
