@@ -51,4 +51,4 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_html_text, op4_mixing, op5_byte_bpe, op6_line_dedup, op7_simhash, op8_substrings, op9_ann, op10_vector_dedup)}
-SQL = {"op6_line_dedup": linededup.SQL}
+SQL = {"op3_html_text": html.SQL, "op6_line_dedup": linededup.SQL, "op10_vector_dedup": vectordedup.SQL}

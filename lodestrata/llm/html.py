@@ -212,3 +212,11 @@ def extract_pages(pages: DataFrame, salts: int = SALTS) -> DataFrame:
 
     kinds = dict(pages.dtypes)
     return both.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+
+#: For pages whose article closes and holds paragraphs and headings only: a check that knows no templates.
+SQL = r"""
+WITH cut AS (SELECT page_id, url, string_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), '</?(?:p|h[1-6])>') AS parts FROM pages),
+bare AS (SELECT page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) AS parts FROM cut),
+texts AS (SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '') AS text FROM bare)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""

@@ -297,3 +297,12 @@ def test_pipeline_stages(spark, tmp_path):
 @pytest.mark.parametrize("name", ["op4_mixing", "op8_substrings"])
 def test_registered(spark, name):
     assert entry.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(entry.SQL))
+def test_same_as_sql(spark, duck, name):
+    from tests.test_queries import rows
+
+    got, want = entry.QUERIES[name](spark, DATA).toPandas(), duck.sql(entry.SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and rows(got, columns) == rows(want, columns)
