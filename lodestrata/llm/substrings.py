@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 ENDS = 8
 #: Words that a run of whole chunks holds at least.  A passage loses the parts of chunks at its ends, about ten words.
 MIN_WORDS = 30
+#: Passages of up to so many words are left alone, as far as the chunks at their ends tell.
+SHORT = 50
+_W = 20  # bits of a chunk's number of words
 _GEAR = np.random.default_rng(11).integers(0, 256, 256, dtype=np.uint8)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -33,7 +36,10 @@ def chunk_ends(data: bytes, ends: int = ENDS) -> np.ndarray:
 
 
 def _chunks(docs: DataFrame, ends: int, places: bool) -> DataFrame:
-    """(digest, doc_id[, start, size, words]) of every chunk; words counts word starts."""
+    """(digest, doc_id[, start, size, words]) of every chunk.
+
+    words packs the word starts of the chunk, of the one before and of the one
+    after, _W bits each."""
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -52,7 +58,8 @@ def _chunks(docs: DataFrame, ends: int, places: bool) -> DataFrame:
                     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
                     cols[2].append(s)
                     cols[3].append(e - s)
-                    cols[4].append(np.searchsorted(begins, e) - np.searchsorted(begins, s))
+                    w = np.minimum(np.searchsorted(begins, e) - np.searchsorted(begins, s), (1 << _W) - 1)
+                    cols[4].append(w | np.append(0, w[:-1]) << _W | np.append(w[1:], 0) << 2 * _W)
                 if sum(map(len, cols[0][-50:])) > 200_000 or len(cols[0]) >= 2000:
                     yield pa.RecordBatch.from_pydict({n: np.concatenate(c).astype(np.int64) for n, c in zip(names, cols)})
                     cols = [[], [], [], [], []]
@@ -63,9 +70,11 @@ def _chunks(docs: DataFrame, ends: int, places: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, ends: int = ENDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, short: int = SHORT, ends: int = ENDS) -> DataFrame:
     """(doc_id, start, size, n_words, other_doc_id, first): one row per passage that another document holds too.
 
+    A passage is a run of at least min_words words in whole repeated chunks,
+    which with the chunks around it, that it can't fill, has at least `short`.
     start and size are in UTF-8 bytes; other_doc_id holds the passage's first
     chunk; first tells that no smaller doc_id does.  Documents without such
     passages have no row.  Null and empty texts and rows with a null doc_id
@@ -74,9 +83,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, ends: int = E
     documents are only ever folded to the least and the greatest."""
     span = _chunks(docs, ends, False).groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     hit = _chunks(docs, ends, True).join(span, "digest")
-    row = hit.select("doc_id", "start", "size", "words", F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"), (F.col("doc_id") == F.col("lo")).alias("first")).distinct()
+    part = lambda i: F.shiftright("words", _W * i).bitwiseAND(F.lit((1 << _W) - 1))
+    row = hit.select("doc_id", "start", "size", part(0).alias("words"), part(1).alias("before"), part(2).alias("after"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"), (F.col("doc_id") == F.col("lo")).alias("first")).distinct()
     w = Window.partitionBy("doc_id").orderBy("start", "size")
     new = F.when(F.lag(F.col("start") + F.col("size")).over(w) == F.col("start"), 0).otherwise(1)
     run = row.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"), F.min_by("other", "start").alias("other_doc_id"), F.min_by("first", "start").alias("first"))
-    return out.where(F.col("n_words") >= min_words).select("doc_id", "start", "size", "n_words", "other_doc_id", "first")
+    out = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"), F.min_by("before", "start").alias("before"), F.max_by("after", "start").alias("after"), F.min_by("other", "start").alias("other_doc_id"), F.min_by("first", "start").alias("first"))
+    return out.where((F.col("n_words") >= min_words) & (F.col("n_words") + F.col("before") + F.col("after") >= short)).select("doc_id", "start", "size", "n_words", "other_doc_id", "first")
