@@ -157,3 +157,31 @@ def test_keyset_sizes(spark):
     assert keysets.two_bytes(spark, 4).count() == 255**2 * (1 + 3 + 6) + 255 * (2 + 3 + 4)
     assert keysets.permutation(spark, 6).distinct().count() == 720
     assert keysets.sparse(spark, 10, 10).distinct().count() == 1024
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flushed_run_prunes_and_pushes_down(spark, tmp_path):
+    rows = spark.range(2000).select(F.format_string("key-%05d", "id").alias("k"), F.col("id").alias("seq"), F.lit(False).alias("is_deleted"), F.md5(F.col("id").cast("string")).alias("v"), (F.col("id") % 5 == 0).alias("cached"))
+    run = layout.flush(rows, str(tmp_path / "run"))
+    assert run.count() == 1600
+    p = plan(access.point_get(run, "key-00042").select("seq"))
+    assert "EqualTo(k,key-00042)" in p and "ReadSchema: struct<k:string,seq:bigint>" in p
+    p = plan(access.range_scan(run, "key-00100", "key-00200").select("k"))
+    assert "GreaterThanOrEqual(k,key-00100)" in p and "ReadSchema: struct<k:string>" in p
+
+
+def test_key_filter_goes_below_a_merge(spark, tmp_path):
+    paths = []
+    for i in range(2):
+        spark.range(100).select(F.format_string("k%03d", "id").alias("k"), F.lit(i).alias("seq"), F.lit(False).alias("is_deleted"), F.lit(str(i)).alias("v")).write.parquet(str(tmp_path / str(i)))
+        paths.append(spark.read.parquet(str(tmp_path / str(i))))
+    got = merge.priority_merge(paths).where("k = 'k007'")
+    assert plan(got).count("EqualTo(k,k007)") == 2 and [r.v for r in got.collect()] == ["0"]
+
+
+def test_merge_combines_before_the_shuffle(spark):
+    p = plan(merge.upsert_latest(spark.createDataFrame([("a", 1, False, "x")], "k string, seq int, is_deleted boolean, v string")))
+    assert p.count("Exchange hashpartitioning") == 1 and "partial_max_by" in p
