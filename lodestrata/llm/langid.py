@@ -228,8 +228,8 @@ def sample(docs: DataFrame, by: str, rows: int, seed: int) -> DataFrame:
     """At most `rows` rows of docs for each value of a column, those of the least hashed doc_id.
 
     Salted parts of a value are cut to `rows` first, so that a common value
-    sends no more than 64 times as many rows to one task."""
-    slim = docs.select("doc_id", by).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("salt", F.pmod("h", F.lit(64)))
+    sends no more than 16 times as many rows to one task."""
+    slim = docs.select("doc_id", by).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("salt", F.pmod("h", F.lit(16)))
     slim = slim.withColumn("n", F.row_number().over(Window.partitionBy(by, "salt").orderBy("h", "doc_id"))).where(F.col("n") <= rows)
     picked = slim.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("h", "doc_id"))).where(F.col("n") <= rows).select("doc_id").distinct()
     return docs.join(F.broadcast(picked), "doc_id", "left_semi")
