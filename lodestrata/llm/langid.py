@@ -42,7 +42,6 @@ class Features:
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bucket, number of the word) pairs; empty words have none."""
-        words = [w[:64] for w in words]  # of a word's letters; the text's words all count
         found, own = hashed_grams(words, (2, 3), self.buckets, prefixes=(1, 2, 3), suffixes=(1, 2, 3, 4))
         marked = [(bucket(f"lex{k}", self.buckets), i) for i, k in enumerate(map(self.lexicon.get, words)) if k is not None]
         more = np.array(marked, np.int64).reshape(-1, 2)

@@ -24,7 +24,7 @@ REPEAT = "\x01repeat"
 
 def features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, number of the word) pairs."""
-    return hashed_grams([w[:64] for w in words], (3, 4, 5), buckets)
+    return hashed_grams(words, (3, 4, 5), buckets)
 
 
 class Quality:

@@ -10,11 +10,11 @@ import numpy as np
 class WordTable:
     """Maps words to rows of a value matrix; new words get theirs from `values`.
 
-    values takes a list of words and returns an array with a row for each.
-    Between batches the table is emptied when it holds over `most` words."""
+    values takes a list of words and returns an array with a row for each; it
+    gets about `chars` characters at a time.  Between batches the table is emptied when it holds over `most` words."""
 
-    def __init__(self, values: Callable[[list[str]], np.ndarray], most: int = 400_000):
-        self.values, self.most = values, most
+    def __init__(self, values: Callable[[list[str]], np.ndarray], most: int = 400_000, chars: int = 1_000_000):
+        self.values, self.most, self.chars = values, most, chars
         self.index: dict[str, int] = {}
         self.rows: np.ndarray | None = None
 
@@ -28,7 +28,9 @@ class WordTable:
         if new or self.rows is None:
             n = len(known)
             known.update(zip(new, range(n, n + len(new))))
-            got = self.values(new)
+            ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) // self.chars
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(new)]
+            got = np.concatenate([self.values(new[a:b]) for a, b in zip(cuts, cuts[1:])])
             if self.rows is None:
                 self.rows = got
             else:

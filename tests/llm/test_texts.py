@@ -11,7 +11,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, components, entry, html, langid, linededup, mixing, quality, simhash, substrings
+from lodestrata.llm import bpe, components, entry, html, langid, linededup, mixing, quality, simhash, substrings, words
 from tests.conftest import DATA
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -69,6 +69,20 @@ def test_language_accuracy_and_words(spark):
     assert sum(x == "en" for x in labels[:25]) > 18 and sum(x == "de" for x in labels[25:]) > 18
 
 
+def test_long_words_count_whole():
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    crf = langid.Features({long: 1})
+    assert len(crf.of([long])[0]) > 6000 and len(crf.of([long[:-1]])[0]) == len(crf.of([long])[0]) - 3
+    model = quality.fit([("good words here " + long, 1), ("bad " + long[::-1], 0)], buckets=1 << 12)
+    assert (model.document_vectors([long]) != model.document_vectors([long[:64]])).any()
+    values = lambda ws: np.array([[len(w)] for w in ws]).reshape(-1, 1)
+    small, whole = words.WordTable(values, chars=5), words.WordTable(values)
+    for texts in (["a bb ccc", None, ""], ["dddddddd bb e", "a"], [""]):
+        (i, r), (j, t) = small.batch(texts), whole.batch(texts)
+        assert [r[x].tolist() for x in i] == [t[x].tolist() for x in j] == [[[len(w)] for w in (s or "").split()] for s in texts]
+
+
 def test_language_odd(odd, empty):
     got = langid.identify(odd).collect()
     assert len(got) == odd.count()
