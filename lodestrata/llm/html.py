@@ -2,11 +2,12 @@
 
 Tokens are tags in the context of their open sections, and short text runs.
 Over the pages of a host, tokens with the same occurrence vector (their count
-in every page) form an equivalence class; large and frequent classes whose
-tokens keep one order make up the host's template, nested by that order.  The
-class of tokens that stand once in every page is the frame: its tags bound
-the slots of a page.  The slot of the article is extracted, without what the
-template repeats outside of it and without boilerplate elements.
+in every page) form an equivalence class; large and frequent classes make up
+the host's template.  Their tokens that stand once a page are the frame, in
+the order of their mean places; the classes nest in it by that order.  Frame
+tokens bound the slots of a page: the article's are those from the frame token
+that opens it to its end tag or, where that is missing, to the next one outside
+of articles.  They are extracted without boilerplate elements.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ TEXT_MOST = 300
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
+    r"|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<",
     re.S | re.I,
 )
 MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -34,10 +35,12 @@ BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 div li ul ol dl dt dd table tr td th sec
 DROP = frozenset("head nav footer aside form title button label".split())
 DROP_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 MAIN = ("article", "main")
+#: Of template tokens: it opens the article; it stands inside of one.
+OPENS, INSIDE = 1, 2
 
 
 def tokens(page: str):
-    """(kind, name, marks, text) of a page: kind is 1 open tag, -1 close tag, 0 text; comments and raw elements are skipped."""
+    """(kind, name, marks, text) of a page: kind is 1 open tag, -1 close tag, 0 text; comments, raw elements and a tag that the page's end cuts off are skipped."""
     for m in TOKEN.finditer(page):
         s = m.group()
         name = m.group(2)
@@ -80,13 +83,21 @@ def role(kind: int, name: str, marks: tuple, text: str, stack: list) -> int | No
     return xxhash.xxh64_intdigest(f"{kind}{name}.{'.'.join(marks)}|{path}".encode("utf-8", "surrogatepass")) >> 1
 
 
+def in_main(stack: list) -> bool:
+    return any(n in MAIN for n, _ in stack)
+
+
+def opens_main(kind: int, name: str, marks: tuple, stack: list) -> bool:
+    return kind == 1 and name in MAIN and not _boiler([*stack, (name, marks)])
+
+
 def page_roles(page: str) -> dict[int, list[int]]:
-    """Of each token of a page: its count, the place of its first occurrence, 1 if it opens MAIN."""
+    """Of each token of a page: its count, the place of its first occurrence, OPENS or INSIDE by MAIN, or 0."""
     out: dict[int, list[int]] = {}
     for i, (kind, name, marks, text, stack) in enumerate(walk(page)):
         r = role(kind, name, marks, text, stack)
         if r is not None:
-            got = out.setdefault(r, [0, i, int(kind == 1 and name in MAIN and not _boiler([*stack, (name, marks)]))])
+            got = out.setdefault(r, [0, i, OPENS if opens_main(kind, name, marks, stack) else INSIDE * in_main(stack)])
             got[0] += 1
     return out
 
@@ -133,9 +144,35 @@ class Template:
         frame = [r for c in self.classes if all(r["most"] == 1 for r in c) for r in c]
         self.frame = {r["token"]: i for i, r in enumerate(sorted(frame, key=lambda r: r["at"]))}
         #: frame tokens that open the article
-        self.main = {r["token"] for r in frame if r["main"]}
+        self.main = {r["token"] for r in frame if r["main"] == OPENS}
+        #: frame tokens outside of articles
+        self.outer = {r["token"] for r in frame if not r["main"]}
         self.repeated = {r["token"] for r in rows if r["pages"] >= SUPPORT * n_pages}
 
+    def slots(self, seq: list, roles: list) -> list[tuple[int, int]] | None:
+        """The article's slots in a page, as ranges of its tokens; None if it has none of the frame's articles.
+
+        An article that its page doesn't close ends with the first section
+        that the frame has after it, as if the article weren't open there."""
+        out, at = [], 0
+        while at < len(seq):
+            if roles[at] not in self.main:
+                at += 1
+                continue
+            depth = len(seq[at][4])
+            end = next((i for i in range(at + 1, len(seq)) if len(seq[i][4]) <= depth), len(seq))
+            if end == len(seq) or seq[end][1] not in MAIN:
+                for i in range(at + 1, end):
+                    kind, name, marks, text, stack = seq[i]
+                    if kind == 1 and name in SECTIONS and len(stack) == depth + 1:
+                        r = role(kind, name, marks, text, stack[:depth])
+                        if r in self.outer and self.frame[r] > self.frame[roles[at]]:
+                            end = i
+                            break
+            out.append((at + 1, end))
+            at = end
+        return out or None
+
 
 def _boiler(stack: list) -> bool:
     inside = False
@@ -149,17 +186,23 @@ def _boiler(stack: list) -> bool:
 def extract(page: str | None, template: Template | None = None) -> str:
     """The article's blocks, one a line; empty for null and for pages without text.
 
-    With an article in the host's frame, or in the page, only its slot counts:
-    it ends with the article, or at the next frame tag after it that follows
-    in the template (pages that are cut off or don't close it).  Pages without
-    one give all slots but repeated text runs and boilerplate."""
+    With an article in the host's frame only its slots count; else what the
+    page itself marks as MAIN.  Pages without either give all slots but
+    repeated text runs and boilerplate."""
     if not page:
         return ""
     seq = list(walk(page))
     roles = [role(k, n, m, t, s) if template else None for k, n, m, t, s in seq]
-    starts = [i for i, (k, n, m, t, s) in enumerate(seq) if k == 1 and n in MAIN and not _boiler([*s, (n, m)])]
-    if template and template.main and any(roles[i] in template.main for i in starts):
-        starts = [i for i in starts if roles[i] in template.main]
+    slots = template.slots(seq, roles) if template and template.main else None
+    if slots is None and any(opens_main(k, n, m, s) for k, n, m, _, s in seq):
+        slots, at = [], None
+        for i, (*_, stack) in enumerate([*seq, (0, "", (), "", [])]):
+            if in_main(stack) != (at is not None):
+                at = slots.append((at, i)) if at is not None else i
+    inner = slots is not None
+    within = np.full(len(seq), not inner)
+    for a, b in slots or ():
+        within[a:b] = True
     out: list[str] = []
     part: list[str] = []
 
@@ -169,9 +212,8 @@ def extract(page: str | None, template: Template | None = None) -> str:
             out.append(text)
         part.clear()
 
-    inner = bool(starts)
     for i, (kind, name, marks, text, stack) in enumerate(seq):
-        if inner and not any(n in MAIN for n, _ in stack):
+        if not within[i]:
             flush()
             continue
         if kind == 0:

@@ -132,6 +132,19 @@ def test_html_template_classes(spark):
     assert template.classes and template.main and len(template.frame) > 8
 
 
+def test_html_slots_end_with_the_frame(spark):
+    page = '<html><body><div class="top">Top {i}</div><article><h1>T{i}</h1><div>in {i}</div>{end}<div class="more">More {i}</div><article>Other {i}</article></body></html>'
+    pages = spark.createDataFrame([(i, "http://f.example/", page.format(i=i, end="" if i == 7 else "</article>")) for i in range(12)] + [(20, "http://f.example/", page.format(i=20, end="")[:90])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
+    (t,) = html.templates(pages).collect()
+    template = html.Template(t.n_pages, [r.asDict() for r in t.template])
+    # two articles alike stand twice a page, so they are no frame tokens
+    assert not template.main and got[3] == "T3\nin 3\nOther 3"
+    pages = pages.withColumn("html", F.regexp_replace("html", "<article>(Other \\d+)</article>", '<section class="z">$1</section>'))
+    got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
+    assert got[3] == "T3\nin 3" and got[7] == "T7\nin 7" and got[20] == "T20\nin 20"
+
+
 def test_html_without_article_drops_what_repeats(spark):
     page = "<html><body><div>Same on all</div><div class=menu><a>x</a></div><p>Own {i} text</p></body></html>"
     pages = spark.createDataFrame([(i, "http://n.example/", page.format(i=i)) for i in range(8)], "page_id long, url string, html string")
