@@ -3,7 +3,9 @@
 A gear rolling hash over the last eight bytes ends a chunk where it falls
 below a bound; so boundaries depend on the text nearby alone, and an
 insertion moves no chunk but its own.  Chunks are compared by digest; runs of
-adjacent chunks that other documents hold too are repeated passages.
+adjacent chunks that other documents hold too are repeated passages.  A passage
+that is long enough only with parts of the chunks at its ends, which chunks
+can't show, is verified by the digests of its windows of words.
 """
 from __future__ import annotations
 
@@ -12,19 +14,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import cut
+
 #: A chunk ends at a byte with this chance in 256: 32 bytes in the mean.
 ENDS = 8
-#: Words that a run of whole chunks holds at least.  A passage loses the parts of chunks at its ends, about ten words.
-MIN_WORDS = 30
-#: Passages of up to so many words are left alone, as far as the chunks at their ends tell.
-SHORT = 50
+#: Passages of more than so many words are found.
+WORDS = 50
+#: What is to be verified is told by residues of hashes first: no more values than this are broadcast.
+RESIDUES = 1 << 20
+#: Bytes of a chunk at most.
+MOST = 128
 _W = 20  # bits of a chunk's number of words
 _GEAR = np.random.default_rng(11).integers(0, 256, 256, dtype=np.uint8)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def chunk_ends(data: bytes, ends: int = ENDS) -> np.ndarray:
-    """Offsets behind the chunks of data; the last is its length."""
+    """Offsets behind the chunks of data; the last is its length.
+
+    A chunk that would have over MOST bytes ends at the last of the lowest
+    hashes in MOST bytes: a text that repeats itself is cut in step wherever
+    it begins."""
     if not data:
         return np.zeros(0, np.int64)
     g = _GEAR[np.frombuffer(data, np.uint8)]
@@ -32,7 +42,15 @@ def chunk_ends(data: bytes, ends: int = ENDS) -> np.ndarray:
     for j in range(1, min(8, len(g))):
         h[j:] += g[:-j] << np.uint8(j)
     at = np.flatnonzero(h < ends) + 1
-    return at if len(at) and at[-1] == len(data) else np.append(at, len(data))
+    at = at if len(at) and at[-1] == len(data) else np.append(at, len(data))
+    more = []
+    for stop in at[np.diff(at, prepend=0) > MOST].tolist():
+        start = int(at[i - 1]) if (i := int(np.searchsorted(at, stop))) else 0
+        while stop - start > MOST:
+            part = h[start : start + MOST]
+            start += MOST - int(part[::-1].argmin())
+            more.append(start)
+    return np.sort(np.concatenate([at, np.array(more, np.int64)])) if more else at
 
 
 def _chunks(docs: DataFrame, ends: int, places: bool) -> DataFrame:
@@ -58,7 +76,7 @@ def _chunks(docs: DataFrame, ends: int, places: bool) -> DataFrame:
                     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
                     cols[2].append(s)
                     cols[3].append(e - s)
-                    w = np.minimum(np.searchsorted(begins, e) - np.searchsorted(begins, s), (1 << _W) - 1)
+                    w = np.searchsorted(begins, e) - np.searchsorted(begins, s)
                     cols[4].append(w | np.append(0, w[:-1]) << _W | np.append(w[1:], 0) << 2 * _W)
                 if sum(map(len, cols[0][-50:])) > 200_000 or len(cols[0]) >= 2000:
                     yield pa.RecordBatch.from_pydict({n: np.concatenate(c).astype(np.int64) for n, c in zip(names, cols)})
@@ -70,23 +88,74 @@ def _chunks(docs: DataFrame, ends: int, places: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, short: int = SHORT, ends: int = ENDS) -> DataFrame:
+def _few(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be among those of wanted, told by residues of its hash."""
+    residue = F.pmod(F.xxhash64(key), F.lit(RESIDUES)).alias("residue")
+    return rows.select("*", residue).join(F.broadcast(wanted.select(residue).distinct()), "residue", "left_semi").drop("residue")
+
+
+def _windows(docs: DataFrame, sites: DataFrame, size: int) -> DataFrame:
+    """(doc_id, site, at, start, size, digest): the windows of `size` words that start `least` to `most` words before a site.
+
+    sites: doc_id, start, least, most (least may be negative); at is the number of the window's first word."""
+
+    def run(batches):
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            out = []
+            for doc, text, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                blank = _SPACE[np.frombuffer(data, np.uint8)]
+                begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+                stops = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+                for r in places:
+                    site = int(np.searchsorted(begins, r["start"]))
+                    first, last = max(0, site - r["most"]), min(len(begins) - size, site - r["least"])
+                    if first > last:
+                        continue
+                    words = [data[x:y] for x, y in zip(begins[first : last + size].tolist(), stops[first : last + size].tolist())]
+                    for i in range(last - first + 1):
+                        x = int(begins[first + i])
+                        d = digest(b" ".join(words[i : i + size]))
+                        out.append((doc, r["start"], first + i, x, int(stops[first + i + size - 1]) - x, d - (1 << 64) if d >> 63 else d))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+
+    names = ["doc_id", "site", "at", "start", "size", "digest"]
+    near = sites.groupBy("doc_id").agg(F.collect_set(F.struct("start", "least", "most")).alias("sites"))
+    some = _few(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", sites)
+    return some.join(near, "doc_id").select("doc_id", "text", "sites").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def repeated_passages(docs: DataFrame, words: int = WORDS, ends: int = ENDS) -> DataFrame:
     """(doc_id, start, size, n_words, other_doc_id, first): one row per passage that another document holds too.
 
-    A passage is a run of at least min_words words in whole repeated chunks,
-    which with the chunks around it, that it can't fill, has at least `short`.
-    start and size are in UTF-8 bytes; other_doc_id holds the passage's first
-    chunk; first tells that no smaller doc_id does.  Documents without such
-    passages have no row.  Null and empty texts and rows with a null doc_id
-    have no chunks; rows with equal doc_id count as one document; other
-    columns are ignored; an empty table gives an empty table.  A digest's
-    documents are only ever folded to the least and the greatest."""
-    span = _chunks(docs, ends, False).groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    hit = _chunks(docs, ends, True).join(span, "digest")
+    A passage is a run of repeated chunks with more than `words` words; or, of
+    a shorter run with the words of the chunks around it, what windows of
+    words + 1 words that another document holds cover.  start and size are in
+    UTF-8 bytes; other_doc_id holds the passage's first chunk or window; first
+    tells that no smaller doc_id does.  Documents without such passages have
+    no row.  Null and empty texts and rows with a null doc_id have no chunks;
+    rows with equal doc_id count as one document; other columns are ignored;
+    an empty table gives an empty table.  A digest's documents are only ever
+    folded to the least and the greatest."""
+    spread = lambda rows: rows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    other = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")
+    hit = cut(_chunks(docs, ends, True).join(spread(_chunks(docs, ends, False)), "digest").select("digest", "doc_id", "start", "size", "words", other, (F.col("doc_id") == F.col("lo")).alias("first")))
+    # copies of a row fold where the document's chunks already are
+    row = hit.repartition("doc_id").groupBy("doc_id", "start", "size").agg(F.min("digest").alias("digest"), F.max("words").alias("words"), F.min("other").alias("other"), F.max("first").alias("first"))
     part = lambda i: F.shiftright("words", _W * i).bitwiseAND(F.lit((1 << _W) - 1))
-    row = hit.select("doc_id", "start", "size", part(0).alias("words"), part(1).alias("before"), part(2).alias("after"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"), (F.col("doc_id") == F.col("lo")).alias("first")).distinct()
     w = Window.partitionBy("doc_id").orderBy("start", "size")
     new = F.when(F.lag(F.col("start") + F.col("size")).over(w) == F.col("start"), 0).otherwise(1)
     run = row.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"), F.min_by("before", "start").alias("before"), F.max_by("after", "start").alias("after"), F.min_by("other", "start").alias("other_doc_id"), F.min_by("first", "start").alias("first"))
-    return out.where((F.col("n_words") >= min_words) & (F.col("n_words") + F.col("before") + F.col("after") >= short)).select("doc_id", "start", "size", "n_words", "other_doc_id", "first")
+    runs = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum(part(0)).alias("n_words"), F.min_by(part(1), "start").alias("before"), F.max_by(part(2), "start").alias("after"), F.min_by("other", "start").alias("other_doc_id"), F.min_by("first", "start").alias("first"), F.min_by("digest", "start").alias("digest"))
+    runs = cut(runs.where(F.col("n_words") + F.col("before") + F.col("after") > words))
+    columns = ["doc_id", "start", "size", "n_words", "other_doc_id", "first"]
+    # windows in the reach of a short run, in its document and wherever its first chunk stands
+    short = runs.where(F.col("n_words") <= words)
+    anchors = short.groupBy("digest").agg(F.min(words + 1 - F.col("n_words") - F.col("after")).alias("least"), F.max("before").alias("most"))
+    sites = _few(hit, "digest", anchors).join(anchors, "digest").select("doc_id", "start", "least", "most")
+    seen = cut(_windows(docs, sites, words + 1))
+    verified = seen.join(spread(seen), "digest").join(short.select("doc_id", F.col("start").alias("site")), ["doc_id", "site"], "left_semi").select("*", other)
+    verified = verified.groupBy("doc_id", "site").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("size")) - F.min("start")).alias("size"), (F.max("at") - F.min("at") + words + 1).alias("n_words"), F.min_by("other", "at").alias("other_doc_id"), F.min_by(F.col("doc_id") == F.col("lo"), "at").alias("first"))
+    return runs.where(F.col("n_words") > words).select(columns).union(verified.select(columns))

@@ -291,16 +291,52 @@ def test_chunks_are_local():
     assert set((a + 8).tolist()) - set(b.tolist()) <= set((a[a < 9] + 8).tolist())
 
 
+def test_chunks_of_repetitive_text():
+    a, b = (substrings.chunk_ends(f"{x} {'word ' * 200}".encode()) for x in ("start", "another begin"))
+    assert np.diff(a, prepend=0).max() <= substrings.MOST
+    cut = lambda t, e: {t[x:y] for x, y in zip([0, *e], e)}
+    assert cut(f"start {'word ' * 200}", a) & cut(f"another begin {'word ' * 200}", b)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_repeated_passages_like_brute_force(spark, seed):
+    rng = random.Random(seed)
+    lexicon = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    text = lambda n: [rng.choice(lexicon) for _ in range(n)]
+    shared = [text(n) for n in (30, 48, 49, 50, 51, 51, 52, 53, 55, 60, 75)] + [["la"] * 90]
+    rows = []
+    for i in range(160):
+        mine = text(40)
+        for p in rng.sample(shared, rng.randrange(3)):
+            mine += p + text(30)
+        rows.append((i, mine))
+    rows += [(200 + i, rows[i][1] + text(20)) for i in range(20)]
+    where = defaultdict(set)
+    for i, ws in rows:
+        for k in range(len(ws) - 50):
+            where[" ".join(ws[k : k + 51])].add(i)
+    want = {i for d in where.values() if len(d) > 1 for i in d}
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], "doc_id long, text string")
+    got = substrings.repeated_passages(docs).collect()
+    assert {r.doc_id for r in got} == want and len(want) < len(rows)
+    texts = {i: " ".join(ws).encode() for i, ws in rows}
+    for r in got:
+        passage = texts[r.doc_id][r.start : r.start + r["size"]]
+        assert r.n_words > 50 and abs(len(passage.split()) - r.n_words) <= 1 and r.other_doc_id != r.doc_id and (not r["first"] or r.other_doc_id > r.doc_id)
+
+
 def test_repeated_passages(spark, odd, empty):
     rng = random.Random(5)
     text = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9))) for _ in range(n))
     shared = text(90)
     rows = [(i, text(60) + (" " + shared + " " if i in (3, 17, 30) else " ") + text(40)) for i in range(40)]
-    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.repeated_passages(docs).collect()
     assert {r.doc_id for r in got} == {3, 17, 30} and {r.doc_id for r in got if r["first"]} == {3}
     for r in got:
         passage = rows[r.doc_id][1].encode()[r.start : r.start + r["size"]].decode()
         assert passage in shared and len(passage.split()) >= 60 and abs(r.n_words - len(passage.split())) <= 1
+    assert len(substrings.repeated_passages(docs.union(docs)).collect()) == 3
     assert {r.doc_id for r in substrings.repeated_passages(odd).collect()} <= {4, 9} and substrings.repeated_passages(empty).count() == 0
 
 
