@@ -132,7 +132,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, ends: int = ENDS) ->
 
     A passage is a run of repeated chunks with more than `words` words; or, of
     a shorter run with the words of the chunks around it, what windows of
-    words + 1 words that another document holds cover.  start and size are in
+    words + 1 words that another short run, or the first document with the
+    run's first chunk, holds too cover.  start and size are in
     UTF-8 bytes; other_doc_id holds the passage's first chunk or window; first
     tells that no smaller doc_id does.  Documents without such passages have
     no row.  Null and empty texts and rows with a null doc_id have no chunks;
@@ -151,11 +152,12 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, ends: int = ENDS) ->
     runs = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum(part(0)).alias("n_words"), F.min_by(part(1), "start").alias("before"), F.max_by(part(2), "start").alias("after"), F.min_by("other", "start").alias("other_doc_id"), F.min_by("first", "start").alias("first"), F.min_by("digest", "start").alias("digest"))
     runs = cut(runs.where(F.col("n_words") + F.col("before") + F.col("after") > words))
     columns = ["doc_id", "start", "size", "n_words", "other_doc_id", "first"]
-    # windows in the reach of a short run, in its document and wherever its first chunk stands
-    short = runs.where(F.col("n_words") <= words)
-    anchors = short.groupBy("digest").agg(F.min(words + 1 - F.col("n_words") - F.col("after")).alias("least"), F.max("before").alias("most"))
-    sites = _few(hit, "digest", anchors).join(anchors, "digest").select("doc_id", "start", "least", "most")
+    # windows in the reach of a short run, in its document and in the first one that holds its first chunk
+    reach = runs.where(F.col("n_words") <= words).select("doc_id", "start", "digest", (words + 1 - F.col("n_words") - F.col("after")).alias("least"), F.col("before").alias("most"))
+    anchors = reach.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    there = _few(hit.where("first").select("digest", "doc_id", "start"), "digest", anchors).join(anchors, "digest")
+    sites = reach.select("doc_id", "start", "least", "most").union(there.select("doc_id", "start", "least", "most"))
     seen = cut(_windows(docs, sites, words + 1))
-    verified = seen.join(spread(seen), "digest").join(short.select("doc_id", F.col("start").alias("site")), ["doc_id", "site"], "left_semi").select("*", other)
+    verified = seen.join(spread(seen), "digest").join(reach.select("doc_id", F.col("start").alias("site")), ["doc_id", "site"], "left_semi").select("*", other)
     verified = verified.groupBy("doc_id", "site").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("size")) - F.min("start")).alias("size"), (F.max("at") - F.min("at") + words + 1).alias("n_words"), F.min_by("other", "at").alias("other_doc_id"), F.min_by(F.col("doc_id") == F.col("lo"), "at").alias("first"))
     return runs.where(F.col("n_words") > words).select(columns).union(verified.select(columns))
