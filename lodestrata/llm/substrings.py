@@ -132,8 +132,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, ends: int = ENDS) ->
 
     A passage is a run of repeated chunks with more than `words` words; or, of
     a shorter run with the words of the chunks around it, what windows of
-    words + 1 words that another short run, or the first document with the
-    run's first chunk, holds too cover.  start and size are in
+    words + 1 words that another short run, or the first or last document
+    with the run's first chunk, holds too cover.  start and size are in
     UTF-8 bytes; other_doc_id holds the passage's first chunk or window; first
     tells that no smaller doc_id does.  Documents without such passages have
     no row.  Null and empty texts and rows with a null doc_id have no chunks;
@@ -142,7 +142,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, ends: int = ENDS) ->
     folded to the least and the greatest."""
     spread = lambda rows: rows.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     other = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")
-    hit = cut(_chunks(docs, ends, True).join(spread(_chunks(docs, ends, False)), "digest").select("digest", "doc_id", "start", "size", "words", other, (F.col("doc_id") == F.col("lo")).alias("first")))
+    hit = cut(_chunks(docs, ends, True).join(spread(_chunks(docs, ends, False)), "digest").select("digest", "doc_id", "start", "size", "words", other, (F.col("doc_id") == F.col("lo")).alias("first"), F.col("doc_id").isin(F.col("lo"), F.col("hi")).alias("edge")))
     # copies of a row fold where the document's chunks already are
     row = hit.repartition("doc_id").groupBy("doc_id", "start", "size").agg(F.min("digest").alias("digest"), F.max("words").alias("words"), F.min("other").alias("other"), F.max("first").alias("first"))
     part = lambda i: F.shiftright("words", _W * i).bitwiseAND(F.lit((1 << _W) - 1))
@@ -152,10 +152,10 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, ends: int = ENDS) ->
     runs = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum(part(0)).alias("n_words"), F.min_by(part(1), "start").alias("before"), F.max_by(part(2), "start").alias("after"), F.min_by("other", "start").alias("other_doc_id"), F.min_by("first", "start").alias("first"), F.min_by("digest", "start").alias("digest"))
     runs = cut(runs.where(F.col("n_words") + F.col("before") + F.col("after") > words))
     columns = ["doc_id", "start", "size", "n_words", "other_doc_id", "first"]
-    # windows in the reach of a short run, in its document and in the first one that holds its first chunk
+    # windows in the reach of a short run, in its document and in the first and last that hold its first chunk
     reach = runs.where(F.col("n_words") <= words).select("doc_id", "start", "digest", (words + 1 - F.col("n_words") - F.col("after")).alias("least"), F.col("before").alias("most"))
     anchors = reach.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    there = _few(hit.where("first").select("digest", "doc_id", "start"), "digest", anchors).join(anchors, "digest")
+    there = _few(hit.where("edge").select("digest", "doc_id", "start"), "digest", anchors).join(anchors, "digest")
     sites = reach.select("doc_id", "start", "least", "most").union(there.select("doc_id", "start", "least", "most"))
     seen = cut(_windows(docs, sites, words + 1))
     verified = seen.join(spread(seen), "digest").join(reach.select("doc_id", F.col("start").alias("site")), ["doc_id", "site"], "left_semi").select("*", other)
