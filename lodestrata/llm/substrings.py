@@ -2,8 +2,9 @@
 
 A gear rolling hash over the last eight bytes ends a chunk where it falls
 below a bound; so boundaries depend on the text nearby alone, and an
-insertion moves no chunk but its own.  Chunks are compared by digest; runs of
-adjacent chunks that other documents hold too are repeated passages.
+insertion moves no chunk but its own.  A chunk that grows too long is cut at
+its lowest hashes.  Chunks are compared by digest; runs of adjacent chunks
+that other documents hold too are repeated passages.
 """
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: A chunk ends at a byte with this chance in 256: 32 bytes in the mean.
 ENDS = 8
+#: Bytes of a chunk at most, four times the mean.
+MOST = 128
 #: Words that a run of whole chunks holds at least.  A passage loses the parts of chunks at its ends, about ten words.
 MIN_WORDS = 30
 #: Passages of up to so many words are left alone, as far as the chunks at their ends tell.
@@ -23,8 +26,12 @@ _GEAR = np.random.default_rng(11).integers(0, 256, 256, dtype=np.uint8)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def chunk_ends(data: bytes, ends: int = ENDS) -> np.ndarray:
-    """Offsets behind the chunks of data; the last is its length."""
+def chunk_ends(data: bytes, ends: int = ENDS, most: int = MOST) -> np.ndarray:
+    """Offsets behind the chunks of data; the last is its length.
+
+    A chunk that would have over `most` bytes ends at the last of the lowest
+    hashes in its first `most`: a text that repeats one word, where the bound
+    may never be met, is cut in step with the word wherever it begins."""
     if not data:
         return np.zeros(0, np.int64)
     g = _GEAR[np.frombuffer(data, np.uint8)]
@@ -32,7 +39,14 @@ def chunk_ends(data: bytes, ends: int = ENDS) -> np.ndarray:
     for j in range(1, min(8, len(g))):
         h[j:] += g[:-j] << np.uint8(j)
     at = np.flatnonzero(h < ends) + 1
-    return at if len(at) and at[-1] == len(data) else np.append(at, len(data))
+    at = at if len(at) and at[-1] == len(data) else np.append(at, len(data))
+    begin, more = np.concatenate([[0], at[:-1]]), []
+    for i in np.flatnonzero(at - begin > most).tolist():
+        start, stop = int(begin[i]), int(at[i])
+        while stop - start > most:
+            start += most - int(h[start : start + most][::-1].argmin())
+            more.append(start)
+    return np.sort(np.concatenate([at, np.array(more, np.int64)])) if more else at
 
 
 def _chunks(docs: DataFrame, ends: int, places: bool) -> DataFrame:

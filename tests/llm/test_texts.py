@@ -291,6 +291,14 @@ def test_chunks_are_local():
     assert set((a + 8).tolist()) - set(b.tolist()) <= set((a[a < 9] + 8).tolist())
 
 
+def test_long_chunks_are_cut_in_step():
+    cut = lambda data: [data[x:y] for e in [substrings.chunk_ends(data).tolist()] for x, y in zip([0, *e], e)]
+    word = b"never " * 300
+    a, b = cut(b"x. " + word), cut(b"another start; " + word)
+    assert b"".join(a) == b"x. " + word and max(map(len, a + b)) <= substrings.MOST
+    assert len(set(a[4:-1])) == 1 and a[4] in b[2:-1]
+
+
 def test_repeated_passages(spark, odd, empty):
     rng = random.Random(5)
     text = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9))) for _ in range(n))
