@@ -21,7 +21,7 @@ MOST = 128
 MIN_WORDS = 30
 #: Passages of up to so many words are left alone, as far as the chunks at their ends tell.
 SHORT = 50
-_W = 20  # bits of a chunk's number of words
+_W = 8  # bits of a chunk's size and numbers of words; so a chunk has 255 bytes at most
 _GEAR = np.random.default_rng(11).integers(0, 256, 256, dtype=np.uint8)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -49,42 +49,43 @@ def chunk_ends(data: bytes, ends: int = ENDS, most: int = MOST) -> np.ndarray:
     return np.sort(np.concatenate([at, np.array(more, np.int64)])) if more else at
 
 
-def _chunks(docs: DataFrame, ends: int, places: bool) -> DataFrame:
-    """(digest, doc_id[, start, size, words]) of every chunk.
+def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
+    """(digest, doc_id[, place]) of every chunk.
 
-    words packs the word starts of the chunk, of the one before and of the one
-    after, _W bits each."""
+    place packs the chunk's start, its size and the word starts in it, in the
+    one before and in the one after, from the highest bits down; all but the
+    start have _W bits."""
+    if not 0 < most < 1 << _W:
+        raise ValueError(f"chunks of {most} bytes don't fit in {_W} bits")
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            ids, cols = b.column(0).to_pylist(), [[], [], [], [], []]
+            ids, cols = b.column(0).to_pylist(), [[], [], []]
             for doc, text in zip(ids, b.column(1)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if not data or doc is None:
                     continue
-                e = chunk_ends(data, ends)
+                e = chunk_ends(data, ends, most)
                 s = np.concatenate([[0], e[:-1]])
                 cols[0].append(np.array([digest(data[x:y]) for x, y in zip(s.tolist(), e.tolist())], np.uint64).view(np.int64))
                 cols[1].append(np.full(len(e), doc, np.int64))
                 if places:
                     blank = _SPACE[np.frombuffer(data, np.uint8)]
                     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-                    cols[2].append(s)
-                    cols[3].append(e - s)
-                    w = np.minimum(np.searchsorted(begins, e) - np.searchsorted(begins, s), (1 << _W) - 1)
-                    cols[4].append(w | np.append(0, w[:-1]) << _W | np.append(w[1:], 0) << 2 * _W)
+                    w = np.searchsorted(begins, e) - np.searchsorted(begins, s)
+                    cols[2].append(s << 4 * _W | (e - s) << 3 * _W | w << 2 * _W | np.append(0, w[:-1]) << _W | np.append(w[1:], 0))
                 if sum(map(len, cols[0][-50:])) > 200_000 or len(cols[0]) >= 2000:
                     yield pa.RecordBatch.from_pydict({n: np.concatenate(c).astype(np.int64) for n, c in zip(names, cols)})
-                    cols = [[], [], [], [], []]
+                    cols = [[], [], []]
             if cols[0]:
                 yield pa.RecordBatch.from_pydict({n: np.concatenate(c).astype(np.int64) for n, c in zip(names, cols)})
 
-    names = ["digest", "doc_id"] + ["start", "size", "words"] * places
+    names = ["digest", "doc_id"] + ["place"] * places
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, short: int = SHORT, ends: int = ENDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, short: int = SHORT, ends: int = ENDS, most: int = MOST) -> DataFrame:
     """(doc_id, start, size, n_words, other_doc_id, first): one row per passage that another document holds too.
 
     A passage is a run of at least min_words words in whole repeated chunks,
@@ -95,12 +96,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, short: int =
     have no chunks; rows with equal doc_id count as one document; other
     columns are ignored; an empty table gives an empty table.  A digest's
     documents are only ever folded to the least and the greatest."""
-    span = _chunks(docs, ends, False).groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    hit = _chunks(docs, ends, True).join(span, "digest")
-    part = lambda i: F.shiftright("words", _W * i).bitwiseAND(F.lit((1 << _W) - 1))
-    row = hit.select("doc_id", "start", "size", part(0).alias("words"), part(1).alias("before"), part(2).alias("after"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"), (F.col("doc_id") == F.col("lo")).alias("first")).distinct()
-    w = Window.partitionBy("doc_id").orderBy("start", "size")
+    span = _chunks(docs, ends, most, False).groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    hit = _chunks(docs, ends, most, True).join(span, "digest")
+    # a row is narrow until it has reached its document; one shuffle serves the distinct rows and the windows
+    row = hit.select("doc_id", "place", F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")).repartition("doc_id").distinct()
+    part = lambda i: F.shiftright("place", _W * i).bitwiseAND(F.lit((1 << _W) - 1))
+    w = Window.partitionBy("doc_id").orderBy("place")
+    row = row.select("doc_id", "place", "other", F.shiftright("place", 4 * _W).alias("start"), part(3).alias("size"), part(2).alias("words"))
     new = F.when(F.lag(F.col("start") + F.col("size")).over(w) == F.col("start"), 0).otherwise(1)
     run = row.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"), F.min_by("before", "start").alias("before"), F.max_by("after", "start").alias("after"), F.min_by("other", "start").alias("other_doc_id"), F.min_by("first", "start").alias("first"))
-    return out.where((F.col("n_words") >= min_words) & (F.col("n_words") + F.col("before") + F.col("after") >= short)).select("doc_id", "start", "size", "n_words", "other_doc_id", "first")
+    out = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"), F.min("place").alias("begin"), F.max("place").alias("place"), F.min_by("other", "place").alias("other_doc_id"))
+    before, after = F.shiftright("begin", _W).bitwiseAND(F.lit((1 << _W) - 1)), part(0)
+    out = out.where((F.col("n_words") >= min_words) & (F.col("n_words") + before + after >= short))
+    return out.select("doc_id", "start", "size", "n_words", "other_doc_id", (F.col("other_doc_id") > F.col("doc_id")).alias("first"))
