@@ -13,10 +13,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: A chunk ends at a byte with this chance in 256: 32 bytes in the mean.
-ENDS = 8
-#: Bytes of a chunk at most, four times the mean.
-MOST = 128
+#: A chunk ends at a byte with this chance in 256: about 21 bytes in the mean.
+ENDS = 12
+#: Bytes of a chunk at most, some four times the mean.
+MOST = 96
 #: Words that a run of whole chunks holds at least.  A passage loses the parts of chunks at its ends, about ten words.
 MIN_WORDS = 30
 #: Passages of up to so many words are left alone, as far as the chunks at their ends tell.

@@ -312,6 +312,25 @@ def test_repeated_passages(spark, odd, empty):
     assert {r.doc_id for r in substrings.repeated_passages(odd).collect()} <= {4, 9} and substrings.repeated_passages(empty).count() == 0
 
 
+def test_passages_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = [(r.doc_id, (r.text or "").split()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+
+    def sharing(n):
+        seen, found = {}, set()
+        for doc, ws in texts:
+            for i in range(len(ws) - n + 1):
+                other = seen.setdefault(hash(tuple(ws[i : i + n])), doc)
+                if other != doc:
+                    found |= {doc, other}
+        return found
+
+    got = {r.doc_id for r in entry.op8_substrings(spark, sf).collect()}
+    want = sharing(51)
+    assert len(want) > 100 and len(want - got) <= len(want) * 0.01
+    assert len(got - sharing(25)) <= len(want) * 0.02
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
