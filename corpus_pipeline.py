@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, langid, linededup, mixing, simhash
+from lodestrata.llm import bpe, langid, linededup, mixing, neardup
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps the document of smallest id of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return neardup.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
