@@ -13,13 +13,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import cut
+
 #: A chunk ends at a byte with this chance in 256: about 21 bytes in the mean.
 ENDS = 12
 #: Bytes of a chunk at most, some four times the mean.
 MOST = 96
-#: Words that a run of whole chunks holds at least.  A passage loses the parts of chunks at its ends, about ten words.
-MIN_WORDS = 30
-#: Passages of up to so many words are left alone, as far as the chunks at their ends tell.
+#: Passages of up to so many words are left alone.  Runs whose whole chunks hold no more are compared byte by byte.
 SHORT = 50
 _W = 8  # bits of a chunk's size and numbers of words; so a chunk has 255 bytes at most
 _GEAR = np.random.default_rng(11).integers(0, 256, 256, dtype=np.uint8)
@@ -53,8 +53,8 @@ def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
     """(digest, doc_id[, place]) of every chunk.
 
     place packs the chunk's start, its size and the word starts in it, in the
-    one before and in the one after, from the highest bits down; all but the
-    start have _W bits."""
+    two before and in the two after, from the highest bits down; all but the
+    start have _W bits, which hold the words of two chunks of `most` bytes."""
     if not 0 < most < 1 << _W:
         raise ValueError(f"chunks of {most} bytes don't fit in {_W} bits")
 
@@ -74,7 +74,8 @@ def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
                     blank = _SPACE[np.frombuffer(data, np.uint8)]
                     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
                     w = np.searchsorted(begins, e) - np.searchsorted(begins, s)
-                    cols[2].append(s << 4 * _W | (e - s) << 3 * _W | w << 2 * _W | np.append(0, w[:-1]) << _W | np.append(w[1:], 0))
+                    pad = np.concatenate([[0, 0], w, [0, 0]])
+                    cols[2].append(s << 4 * _W | (e - s) << 3 * _W | w << 2 * _W | (pad[:-4] + pad[1:-3]) << _W | pad[3:-1] + pad[4:])
                 if sum(map(len, cols[0][-50:])) > 200_000 or len(cols[0]) >= 2000:
                     yield pa.RecordBatch.from_pydict({n: np.concatenate(c).astype(np.int64) for n, c in zip(names, cols)})
                     cols = [[], [], []]
@@ -85,13 +86,63 @@ def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, short: int = SHORT, ends: int = ENDS, most: int = MOST) -> DataFrame:
+def _context(batches):
+    """The text around each chunk as far as SHORT + 1 words on either side, and whether text goes on beyond."""
+    for b in batches:
+        rows = {n: [] for n in ("doc_id", "run", "other", "left", "chunk", "right")}
+        for doc, run, other, place, short, text in zip(*(c.to_pylist() for c in b.columns)):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            start, size = place >> 4 * _W, place >> 3 * _W & (1 << _W) - 1
+            left, right = data[:start], data[start + size :]
+            spare = left.rsplit(None, short + 1), right.split(None, short + 1)
+            left = left[len(spare[0][0]) :] if len(spare[0]) > short + 1 else b"\n" + left
+            right = right[: len(right) - len(spare[1][-1])] if len(spare[1]) > short + 1 else right + b"\n"
+            for n, v in zip(rows, (doc, run, other, left, data[start : start + size], right)):
+                rows[n].append(v)
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "run", "other")] + [(n, pa.binary()) for n in ("left", "chunk", "right")]))
+
+
+def _same(a: bytes, b: bytes) -> int:
+    """Bytes that a and b begin with alike."""
+    n = min(len(a), len(b))
+    x = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(x[0]) if len(x) else n
+
+
+def shared_words(left: bytes, chunk: bytes, right: bytes, other: bytes) -> int:
+    """Whole words around and in chunk that other holds in a row, at the best of the chunk's places in it."""
+    best, at, other = 0, 0, b"\n" + other + b"\n"
+    while chunk and (at := other.find(chunk, at)) >= 0:
+        l = _same(left[::-1], other[max(0, at - len(left)) : at][::-1])
+        r = _same(right, other[at + len(chunk) : at + len(chunk) + len(right)])
+        part = left[len(left) - l :] + chunk + right[:r]
+        words = len(part.split())
+        # a word that goes on beyond the common bytes, in either text, is no whole word
+        ends = (part[:1], left[len(left) - l - 1 : len(left) - l], other[at - l - 1 : at - l]), (part[-1:], right[r : r + 1], other[at + len(chunk) + r :][:1])
+        words -= sum(not e[0].isspace() and any(x and not x.isspace() for x in e[1:]) for e in ends)
+        best, at = max(best, words), at + 1
+    return best
+
+
+def _held(short: int):
+    def run(batches):
+        for b in batches:
+            keep = [shared_words(left, chunk, right, (text or "").encode("utf-8", "surrogatepass")) > short for left, chunk, right, text in zip(*(b.column(i).to_pylist() for i in range(3, 7)))]
+            yield b.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, short: int = SHORT, ends: int = ENDS, most: int = MOST) -> DataFrame:
     """(doc_id, start, size, n_words, other_doc_id, first): one row per passage that another document holds too.
 
-    A passage is a run of at least min_words words in whole repeated chunks,
-    which with the chunks around it, that it can't fill, has at least `short`.
-    start and size are in UTF-8 bytes; other_doc_id holds the passage's first
-    chunk; first tells that no smaller doc_id does.  Documents without such
+    A passage is a run of whole repeated chunks with more than `short` words.  A
+    run of fewer, which with the two chunks on either side would have more, is
+    one if a document that holds one of its chunks shares more than `short`
+    words in a row there, compared byte by byte.  start, size and n_words are
+    of the whole chunks, start and size in UTF-8 bytes; other_doc_id holds the
+    run's first chunk, or the short run's passage; first tells that it is
+    greater than doc_id.  Documents without such
     passages have no row.  Null and empty texts and rows with a null doc_id
     have no chunks; rows with equal doc_id count as one document; other
     columns are ignored; an empty table gives an empty table.  A digest's
@@ -105,7 +156,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, short: int =
     row = row.select("doc_id", "place", "other", F.shiftright("place", 4 * _W).alias("start"), part(3).alias("size"), part(2).alias("words"))
     new = F.when(F.lag(F.col("start") + F.col("size")).over(w) == F.col("start"), 0).otherwise(1)
     run = row.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"), F.min("place").alias("begin"), F.max("place").alias("place"), F.min_by("other", "place").alias("other_doc_id"))
+    held = F.collect_list(F.struct("other", "place")).alias("held")
+    out = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"), F.min("place").alias("begin"), F.max("place").alias("place"), F.min_by("other", "place").alias("other_doc_id"), held)
     before, after = F.shiftright("begin", _W).bitwiseAND(F.lit((1 << _W) - 1)), part(0)
-    out = out.where((F.col("n_words") >= min_words) & (F.col("n_words") + before + after >= short))
-    return out.select("doc_id", "start", "size", "n_words", "other_doc_id", (F.col("other_doc_id") > F.col("doc_id")).alias("first"))
+    out = out.where(F.col("n_words") + before + after > short)
+    out = cut(out.withColumn("held", F.when(F.col("n_words") <= short, F.col("held"))).drop("begin", "place"))
+    text = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
+    ask = out.select("doc_id", "run", F.explode("held").alias("h")).groupBy("doc_id", "run", F.col("h.other").alias("other")).agg(F.min("h.place").alias("place"))
+    ask = ask.join(text, F.col("doc_id") == F.col("d")).select("doc_id", "run", "other", "place", F.lit(short).alias("short"), "text")
+    ask = ask.mapInArrow(_context, "doc_id long, run long, other long, left binary, chunk binary, right binary")
+    ask = ask.join(text, F.col("other") == F.col("d")).select("doc_id", "run", "other", "left", "chunk", "right", "text")
+    found = ask.mapInArrow(_held(short), "doc_id long, run long, other long").groupBy("doc_id", "run").agg(F.min("other").alias("found"))
+    few = out.where(F.col("n_words") <= short).join(found, ["doc_id", "run"]).withColumn("other_doc_id", F.col("found"))
+    columns = ["doc_id", "start", "size", "n_words", "other_doc_id"]
+    return out.where(F.col("n_words") > short).select(columns).union(few.select(columns)).withColumn("first", F.col("other_doc_id") > F.col("doc_id"))
