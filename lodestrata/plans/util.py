@@ -1,17 +1,27 @@
 """Materialisation and ordered positions."""
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set only where none is (tests)."""
+    """The folder that all executors share: the context's, or else spark.checkpoint.dir.
+
+    Only a local master may go without, as its executors are on this machine:
+    it gets a folder in its warehouse, which is deleted at exit."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').removeprefix('file:')}/.checkpoints-{uuid.uuid4().hex}"
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
