@@ -1,11 +1,14 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
-import tempfile
+import pickle
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.util import cut, shared_dir  # noqa: F401
+
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -15,14 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder.
+def ship(spark: SparkSession, value):
+    """A function that gives `value` on executors: it is broadcast with its code and unpacked once a worker."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load():
+        if not hasattr(shared, "_unpacked"):
+            shared._unpacked = pickle.loads(shared.value)
+        return shared._unpacked
 
-    The folder is the session's own; one is set only where none is (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
+    return load
 
 
 def per_batch(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import held_out, per_batch, small_batches
+from .common import held_out, per_batch, ship, small_batches
 from .words import WordTable, bucket, hashed_grams, ragged_sum
 
 #: Rows of each language that a model is fitted on, at most.
@@ -250,10 +250,10 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     doc_id each give a row, equal texts equal predictions.  Other columns are
     ignored; an empty table gives an empty table."""
     model = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def batch(b):
-        m, pred, score = shared.value, [], []
+        m, pred, score = shared(), [], []
         for part in small_batches(b.column(2)):
             for p, s in m.predict(part):
                 pred.append(p)
@@ -267,13 +267,13 @@ def identify(docs: DataFrame, model: Crf | None = None) -> DataFrame:
 def accept(docs: DataFrame, least: float = 0.3, model: Crf | None = None) -> DataFrame:
     """docs without the rows whose language is UNKNOWN or scored below `least`."""
     model = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             column = b.column(b.schema.get_field_index("text"))
-            yield b.filter(pa.array([p != UNKNOWN and s >= least for part in small_batches(column) for p, s in shared.value.predict(part)], pa.bool_()))
+            yield b.filter(pa.array([p != UNKNOWN and s >= least for part in small_batches(column) for p, s in shared().predict(part)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, per_batch, small_batches
+from .common import held_out, per_batch, ship, small_batches
 from .langid import sample, summed
 from .words import WordTable, hashed_grams, ragged_sum
 
@@ -115,10 +115,10 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: Quality | Non
     columns are ignored; an empty table gives an empty table; without labels
     to learn from the score is 0.5."""
     model = model or train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def batch(b):
-        s = np.concatenate([shared.value.score(part) for part in small_batches(b.column(2))]).astype(float)
+        s = np.concatenate([shared().score(part) for part in small_batches(b.column(2))]).astype(float)
         return {"doc_id": b.column(0), "held_out": b.column(1), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False)), "text")
