@@ -124,31 +124,72 @@ def test_html_main_text(spark):
     assert html.extract_pages(pages.limit(0)).count() == 0
 
 
-def test_html_template_classes(spark):
-    pages = spark.createDataFrame([(i, "http://h.example/x", PAGE.format(i=i)) for i in range(5)], "page_id long, url string, html string")
+def make(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def texts(pages, **options):
+    return {r.page_id: r.text for r in html.extract_pages(pages, **options).collect()}
+
+
+def deduced(pages):
     (t,) = html.templates(pages).collect()
-    assert t.n_pages == 5
-    template = html.Template(t.n_pages, [r.asDict() for r in t.template])
-    assert template.classes and template.main and len(template.frame) > 8
+    return html.Template(t.n_pages, [tuple(x) for x in t.template])
+
+
+def test_html_template_nests_classes(spark):
+    pages = make(spark, [(i, "http://h.example/x", "<html><body><nav>" + f"<ul><li>a{i}</li></ul>" * (1 + i % 2) + f"</nav><div class=a><h1>Head {i}</h1>" + f"<p>text {i} of the page</p>" * (2 + i % 3) + "</div></body></html>") for i in range(12)])
+    t = deduced(pages)
+    # the frame stands once a page, the list's tokens once or twice, the paragraphs' two to four times
+    kinds = {len({(r[2], r[3], r[4]) for r in c}) for c in t.classes}
+    assert kinds == {1} and len(t.classes) == 3
+    slots = dict(zip([max(r[2] for r in c) for c in t.classes], t.slot_of))
+    assert len(t.slot_of) == 3 and t.main <= set(t.slot_of) and slots
+    assert texts(pages)[4] == "Head 4\ntext 4 of the page\ntext 4 of the page\ntext 4 of the page"
 
 
 def test_html_slots_end_with_the_frame(spark):
-    page = '<html><body><div class="top">Top {i}</div><article><h1>T{i}</h1><div>in {i}</div>{end}<div class="more">More {i}</div><article>Other {i}</article></body></html>'
-    pages = spark.createDataFrame([(i, "http://f.example/", page.format(i=i, end="" if i == 7 else "</article>")) for i in range(12)] + [(20, "http://f.example/", page.format(i=20, end="")[:90])], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
-    (t,) = html.templates(pages).collect()
-    template = html.Template(t.n_pages, [r.asDict() for r in t.template])
-    # two articles alike stand twice a page, so they are no frame tokens
-    assert not template.main and got[3] == "T3\nin 3\nOther 3"
-    pages = pages.withColumn("html", F.regexp_replace("html", "<article>(Other \\d+)</article>", '<section class="z">$1</section>'))
-    got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
-    assert got[3] == "T3\nin 3" and got[7] == "T7\nin 7" and got[20] == "T20\nin 20"
+    """An article that its page leaves open ends where the template has its next container."""
+    page = '<html><body><div class="top">Top {i}</div><article><h1>T{i}</h1><div>in {i} and more</div>{end}<div class="more">More {i}</div><section class="z">Other {i}</section></body></html>'
+    pages = make(spark, [(i, "http://f.example/", page.format(i=i, end="" if i == 7 else "</article>")) for i in range(12)] + [(20, "http://f.example/", page.format(i=20, end="")[:93])])
+    got = texts(pages)
+    assert got[3] == "T3\nin 3 and more" and got[7] == "T7\nin 7 and more" and got[20].startswith("T20\nin 20")
 
 
 def test_html_without_article_drops_what_repeats(spark):
     page = "<html><body><div>Same on all</div><div class=menu><a>x</a></div><p>Own {i} text</p></body></html>"
-    pages = spark.createDataFrame([(i, "http://n.example/", page.format(i=i)) for i in range(8)], "page_id long, url string, html string")
-    assert {r.text for r in html.extract_pages(pages).collect()} == {f"Own {i} text" for i in range(8)}
+    assert set(texts(make(spark, [(i, "http://n.example/", page.format(i=i)) for i in range(8)])).values()) == {f"Own {i} text" for i in range(8)}
+
+
+def test_html_the_template_decides(spark):
+    """On pages whose tags and marks tell nothing the template finds the article; a page alone doesn't."""
+    notice = "Please note that this site will be closed. " * 12
+    page = '<div class="q1">{n}</div><div class="q2"><h1>Head {i}</h1><div class="q3"><p>' + "Body {i} of the text. " * 9 + "</p><p>{n}</p></div></div><div class=q4>Seen {i} times by {i} of our many readers all over the whole wide world</div>"
+    rows = [(i, "http://t.example/", page.format(i=i, n=notice)) for i in range(9)]
+    want = {i: f"Head {i}\n" + " ".join([f"Body {i} of the text."] * 9) for i in range(9)}
+    assert texts(make(spark, rows)) == want and texts(make(spark, rows), most=0) == want
+    assert html.extract(rows[0][2]) != want[0]
+
+
+@pytest.mark.parametrize("swap", [{"article": "div class=k3"}, {"article": "div class=k3", "nav": "div class=z1", "footer": "div class=z2"}])
+def test_html_of_renamed_tags(spark, duck, swap):
+    """The driver's own pages with their telling tags and marks taken away, against the SQL on the pages as they are."""
+    want = dict(duck.sql(html.SQL).df()[["page_id", "text"]].values.tolist())
+    rows = duck.sql("SELECT page_id, 'http://one.example/' || page_id, html FROM pages").fetchall()
+    for old, new in swap.items():
+        rows = [(i, u, h.replace(f"<{old}>", f"<{new}>").replace(f"</{old}>", "</div>").replace('class="ad"', "class=q7")) for i, u, h in rows]
+    assert texts(make(spark, rows)) == want
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p data-x=it's>Hello first.</p><p>Second don't vanish.</p><p>Third</p>", "Hello first.\nSecond don't vanish.\nThird"),
+    ('<p title="a>Hello</p>', "Hello"), ('<p title="a>Hello</p><p class="x">World</p>', "Hello\nWorld"), ('<p title="a > b"class=c>One</p><i href="x">two</i>', "One\ntwo"),
+    ('<article><p>One</p><p class="advert">Buy</p><ul class="related"><li>R</li></ul><p>x <span class="ad">Buy <span>it</span> now</span> y</p><p class="comment">C</p></article>', "One\nx y"),
+    ('<article><section id="related-work"><p>Work</p></section><div class="share-price">12</div><div class="comments-list">no</div></article>', "Work\n12"),
+    ("<article><p>a<li>b<li>c</article><p>d", "a\nb\nc"), ("<title>No</title><p>AT&amp;T &amp more &#x41;&nbsp;&lt;b&gt;", "AT&T & more A <b>"), ("<script>if (a</script><p>x", "x"),
+    ("<p>" + "long " * 400_000 + "</p><textarea>no</textarea>", ("long " * 400_000).strip()), ("<svg><p>kept", "kept"), ("", ""), (None, ""), ("< 3 and <", "< 3 and <"), ("<p>a<br>b<!-- c", "a b")])
+def test_html_markup(page, text):
+    assert html.extract(page) == text
 
 
 def test_targets_against_resharing(spark):
