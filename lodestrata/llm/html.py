@@ -445,7 +445,9 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = MIN_PAGES
         F.min("up").alias("up"), F.max("flags").alias("flags"), F.sum(F.col("n") * F.col("chars")).alias("chars"), F.sum(F.col("n") * F.col("link")).alias("link"))
     per = cut(per)
     n = per.where("token = -1").select("host", F.col("pages").alias("n_pages")).where(F.col("n_pages") >= least)
-    known = per.where("token <> -1").join(n, "host")
+    # a host's tokens are spread; its number of pages goes to each part
+    salted = n.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = per.where("token <> -1").withColumn("salt", F.pmod("token", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"])
     often = known.where((F.col("pages") > 1) & (F.col("pages") >= support * F.col("n_pages")))
     fresh = (F.col("pages") == 1) | (F.col("pages") <= FRESH * F.col("n_pages"))
     fixed = ~fresh & (F.col("pages") >= CONSTANT * F.col("n_pages"))
