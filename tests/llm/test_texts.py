@@ -109,6 +109,52 @@ def test_quality_odd(spark, odd, empty):
     assert {r.score for r in quality.score(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_like_a_plain_scorer():
+    """Document by document and word by word, with the same vectors."""
+    texts = ["Good words and good words again again", "bad bad bad", "", None, "one", "ünder the sea 🙂 the sea", "a b " * 3000]
+    model = quality.fit([(t, i % 2) for i, t in enumerate(texts)], buckets=1 << 10, epochs=2)
+
+    def plain(text):
+        ws = (text or "").split()
+        parts = []
+        for w in [*ws, *[quality.REPEAT for a, b in zip(ws, ws[1:]) if a == b]]:
+            found, _ = quality.features([w], 1 << 10)
+            parts.append(sum(model.vectors[f].astype(float) for f in found) / len(found))
+        for a, b in zip(ws, ws[1:]):
+            (f,) = quality.bigrams(np.array([quality.word_hash(a), quality.word_hash(b)]), 1 << 10)
+            parts.append(model.vectors[f].astype(float))
+        z = (sum(parts) / len(parts) if parts else np.zeros(10)) @ model.output + model.bias
+        return 1 / (1 + np.exp(z[0] - z[1]))
+
+    assert np.allclose(model.score(texts), [plain(t) for t in texts], atol=1e-5)
+    for text in texts:  # what is learned from is what is scored
+        u, w = quality.bag(text, 1 << 10)
+        assert np.allclose(w @ model.vectors[u], model.document_vectors([text])[0], atol=1e-5) and (not text or abs(w.sum() - 1) < 1e-4)
+
+
+def test_quality_slopes():
+    rng = np.random.default_rng(2)
+    docs, output, bias, y, weight = rng.normal(size=(6, 4)), rng.normal(size=(4, 2)), rng.normal(size=2), rng.integers(0, 2, 6), rng.uniform(0.5, 2, 6)
+
+    def loss():
+        return -np.mean(weight * np.log(quality.softmax(docs @ output + bias)[np.arange(6), y]))
+
+    for x, g in zip((output, bias, docs), quality.slopes(docs, output, bias, y, weight)):
+        for at in np.ndindex(x.shape):
+            x[at] += 1e-5
+            up = loss()
+            x[at] -= 2e-5
+            assert abs((up - loss()) / 2e-5 * (6 if x is docs else 1) - g[at]) < 1e-6
+            x[at] += 1e-5
+
+
+def test_sample_is_bounded_and_even(spark):
+    rows = [(i, "big") for i in range(4000)] + [(7, "big")] * 3000 + [(10_000 + i, "small") for i in range(30)] + [(20_000, None)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = Counter(r.lang for r in langid.sample(d, "lang", 50, 3).dropDuplicates().collect())
+    assert got == {"big": 50, "small": 30} and langid.sample(d.limit(0), "lang", 50, 3).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>var x="<article>no</article>";</script><style>p{{}}</style></head><body><header>Site head</header>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- <p>gone</p> --><div class="cookie notice">We use cookies</div><article><h1>Title {i}</h1><p>First  &lt;b&gt; line{i}<b> bold
 <br><p>Second &#233;{i}</p><div class="comments"><p>a reader says {i}</p></div><form><input value="q">Send</form></article><aside>More</aside><footer>&copy; site</footer></body></html>"""
