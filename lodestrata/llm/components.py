@@ -1,6 +1,7 @@
 """Connected components over an edge table, by alternating star contraction."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut
@@ -35,3 +36,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def join(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Joins the classes of u and v in label (each row's label: the least row of its class)."""
+    while True:
+        a, b = label[u], label[v]
+        differ = a != b
+        if not differ.any():
+            return
+        a, b, u, v = a[differ], b[differ], u[differ], v[differ]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (nxt := label[label]).tobytes() != label.tobytes():
+            label[:] = nxt

@@ -8,20 +8,23 @@ less those of the zero fingerprint, depend on the set's bits only and are a
 join key.  At similarity 0.8 two fingerprints differ in some 0.15 of their
 bits (the angle of the shingle sets), so that they agree on at least one of
 the sets in all but about `missed()` of the cases; more similar texts are
-missed less.  Pairs that meet are compared on HEAD bits, and those within
-LIMIT by their shingles; no pair below SIMILAR is linked.
+missed less.  Texts that meet and are within LIMIT on HEAD bits are joined to
+clusters, of which only spanning edges are emitted.  All texts of a cluster
+are then compared by their shingles, in pairs of blocks of bounded size; no
+pair below SIMILAR is linked, and what is emitted are spanning edges again.
 """
 from __future__ import annotations
 
 from math import acos, comb, pi, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, per_batch
-from .components import components
+from .components import components, join
 
 WORDS = 5
 SIMILAR = 0.8
@@ -32,8 +35,10 @@ PIVOTS = 12
 HEAD = 128
 #: Pairs at SIMILAR differ in 19.4 of HEAD bits in the mean, with a deviation of 4.1; unrelated ones in 64 and 5.7.
 LIMIT = 36
-#: Candidates that a text names in one bucket at most; what is beyond is sought again among texts not linked by then.
-CAP = 16
+#: Tables that are searched first; the rest seek pairs between the clusters so found.
+FIRST = 8
+#: Texts and bytes of a cluster's block, about.
+BLOCK_TEXTS, BLOCK_BYTES = 512, 4_000_000
 _MIX = np.random.default_rng(29).integers(0, 1 << 64, 4, dtype=np.uint64)
 
 
@@ -105,68 +110,75 @@ def _own(docs: DataFrame, bits: bool) -> DataFrame:
     return per_batch(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), batch, "doc_id long, th long, " + rest)
 
 
-def _keys(texts: DataFrame) -> DataFrame:
+def _keys(texts: DataFrame, tables: range) -> DataFrame:
     """(bucket, th, f0, f1, comp): a row for each text and table."""
 
     def run(batches):
         pivots, factor = _tables()
-        table = np.arange(TABLES, dtype=np.int64) << 48
+        pivots = pivots[:, tables.start * PIVOTS : tables.stop * PIVOTS]
+        table = np.arange(tables.start, tables.stop, dtype=np.int64) << 48
         for b in batches:
             cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
             for i in range(0, b.num_rows, 2000):
                 c = {n: v[i : i + 2000] for n, v in cols.items()}
                 fp = np.ascontiguousarray(np.stack([c[n] for n in _FPS], axis=1))
                 sign = 1 - 2 * np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").astype(np.float32)
-                d = (sign @ pivots).astype(np.int64).reshape(len(fp), TABLES, PIVOTS) @ factor
+                d = (sign @ pivots).astype(np.int64).reshape(len(fp), len(tables), PIVOTS) @ factor
                 key = (d ^ (d >> 29)) & ((1 << 48) - 1) | table
-                rows = {n: np.repeat(c[n], TABLES) for n in ("th", "f0", "f1", "comp")}
+                rows = {n: np.repeat(c[n], len(tables)) for n in ("th", "f0", "f1", "comp")}
                 yield pa.RecordBatch.from_pydict({"bucket": key.ravel()} | rows)
 
     return texts.select("th", *_FPS, "comp").mapInArrow(run, "bucket long, th long, f0 long, f1 long, comp long")
 
 
-def _meet(c: dict, cap: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows (a, b) of one bucket within LIMIT and of different comp, and the rows b that have more than cap."""
+def _meet(c: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket within LIMIT and of different comp: of each row with the first such, and with all after it that aren't in its class yet."""
     bucket, comp = c["bucket"], c["comp"]
     # bitwise_count takes the absolute value of signed numbers
     f0, f1 = c["f0"].view(np.uint64), c["f1"].view(np.uint64)
     begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     start = np.repeat(begin, np.diff(np.append(begin, len(bucket))))
-    b, k, named = np.arange(len(bucket)), 0, np.zeros(len(bucket), np.int64)
-    pairs, more = [], []
+    label = np.arange(len(bucket))
+    b, k = np.arange(len(bucket)), 0
+    pairs = []
     while len(b := b[start[b] + k < b]):
         a = start[b] + k
-        near = (np.bitwise_count(f0[a] ^ f0[b]).astype(np.int64) + np.bitwise_count(f1[a] ^ f1[b]) <= LIMIT) & (comp[a] != comp[b])
+        apart = label[a] != label[b]
+        x, y = a[apart], b[apart]
+        near = (np.bitwise_count(f0[x] ^ f0[y]).astype(np.int64) + np.bitwise_count(f1[x] ^ f1[y]) <= LIMIT) & (comp[x] != comp[y])
         if near.any():
-            x, y = a[near], b[near]
-            full = named[y] >= cap if cap else np.zeros(len(y), bool)
-            pairs.append((x[~full], y[~full]))
-            named[y] += 1
-            if full.any():
-                more.append(y[full])
-                b = b[~np.isin(b, y[full])]
+            x, y = x[near], y[near]
+            pairs.append((x, y))
+            join(label, x, y)
         k += 1
     none = np.zeros(0, np.int64)
-    x, y = (np.concatenate(v) for v in zip(*pairs)) if pairs else (none, none)
-    return x, y, np.concatenate(more) if more else none
+    return tuple(np.concatenate(v) for v in zip(*pairs)) if pairs else (none, none)
 
 
-def candidates(texts: DataFrame, cap: int | None = CAP) -> DataFrame:
-    """Distinct (a, b) of texts that share a bucket, are within LIMIT and differ in comp; b is null where a has more than cap in one bucket.
+def candidates(texts: DataFrame, tables: range = range(TABLES)) -> DataFrame:
+    """Distinct (a, b): spanning edges of the texts that share a bucket, are within LIMIT and differ in comp.
 
-    texts: th, f0.., comp."""
+    texts: th, f0.., comp.  What a task has joined in one bucket it doesn't name again in another."""
 
     def run(batches):
-        seen, held = set(), []
+        above, held = {}, []
+
+        def top(x):
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
 
         def out(parts):
             c = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
-            x, y, more = _meet(c, cap)
-            th = c["th"]
-            new = set(zip(th[x].tolist(), th[y].tolist())) | {(t, None) for t in np.unique(th[more]).tolist()}
-            new -= seen
-            if len(seen) < 1_000_000:
-                seen.update(new)
+            x, y = _meet(c)
+            new = []
+            for a, b in zip(c["th"][x].tolist(), c["th"][y].tolist()):
+                p, q = top(a), top(b)
+                if p != q:
+                    above[max(p, q)] = min(p, q)
+                    new.append((a, b))
+            if len(above) > 1_000_000:
+                above.clear()
             if new:
                 a, b = zip(*new)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -183,47 +195,83 @@ def candidates(texts: DataFrame, cap: int | None = CAP) -> DataFrame:
         if held:
             yield from out(held)
 
-    return _keys(texts).repartition("bucket").sortWithinPartitions("bucket", "th").mapInArrow(run, "a long, b long").distinct()
-
-
-def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are at least so similar."""
-
-    def run(batches):
-        for b in batches:
-            sets = zip(*([shingles(v.as_py()) for v in b.column(i)] for i in (2, 3)))
-            keep = pa.array([jaccard(x, y) >= similar for x, y in sets], pa.bool_())
-            yield b.select([0, 1]).filter(keep)
-
-    ends = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct()
-    reps = texts.join(ends, "th").select(F.col("rep").alias("doc_id")).distinct()
-    words = _own(docs.join(reps, "doc_id", "left_semi"), False).join(ends, "th", "left_semi").groupBy("th").agg(F.first("words").alias("words"))
+    return _keys(texts, tables).repartition("bucket").sortWithinPartitions("bucket", "th").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_pairs(a: list[np.ndarray], b: list[np.ndarray], similar: float, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the sets a[i] and b[j], as arrays of distinct hashes, whose Jaccard similarity is at least `similar`."""
+    both = [*a, *b]
+    size = np.array([len(x) for x in both])
+    row = np.repeat(np.arange(len(both)), size)
+    _, column, times = np.unique(np.concatenate([*both, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    some = times > 1  # others are in no intersection
+    at = np.cumsum(some) - 1
+    row, column = row[some[column]], at[column[some[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(a), len(b)))
+    for k in range(0, int(some.sum()), width):
+        i, j = np.searchsorted(column, [k, k + width])
+        m = np.zeros((len(both), width), np.float32)
+        m[row[i:j], column[i:j] - k] = 1
+        shared += m[: len(a)] @ m[len(a) :].T
+    whole = size[: len(a), None] + size[None, len(a) :]
+    return np.nonzero((whole > 0) & (shared >= similar * (whole - shared) - 1e-9))
+
+
+def _links(similar: float):
+    """Grouped function: spanning edges of the similar texts of a block, or of two blocks, of a cluster."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["second", "th"])
+        sets = [np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(bytes(w))), np.uint64)) for w in pdf.words]
+        first = int((~pdf.second).sum())
+        if pdf.alone.iloc[0]:
+            x, y = similar_pairs(sets, sets, similar)
+        else:
+            x, y = similar_pairs(sets[:first], sets[first:], similar)
+            y = y + first
+        label, th = np.arange(len(sets)), pdf.th.to_numpy()
+        join(label, x, y)
+        tied = np.flatnonzero(label != np.arange(len(sets)))
+        return pd.DataFrame({"a": th[label[tied]], "b": th[tied]})
+
+    return run
+
+
+def _verified(docs: DataFrame, texts: DataFrame, clusters: DataFrame, similar: float) -> DataFrame:
+    """Spanning edges (a, b) of the texts of each cluster (th, comp) whose shingle sets are at least so similar."""
+    known = texts.select("th", "rep").join(clusters, "th")
+    reps = known.select(F.col("rep").alias("doc_id")).distinct()
+    words = _own(docs.join(reps, "doc_id", "left_semi"), False).join(known.select("th", "comp"), "th").groupBy("th", "comp").agg(F.first("words").alias("words"))
     words = cut(words)
-    both = pairs.join(words.select(F.col("th").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("th").alias("b"), F.col("words").alias("wb")), "b")
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    parts = words.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum(F.octet_length("words")) / BLOCK_BYTES)).alias("parts"))
+    dealt = words.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts")))
+    # each text goes once to each part of its cluster, to the first or the second side of that pair
+    copy = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    pair = copy.select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), (F.col("part") == F.col("other")).alias("alone"), "th", "words")
+    return pair.groupBy("comp", "i", "j").applyInPandas(_links(similar), "a long, b long")
 
 
-def groups(docs: DataFrame, similar: float = SIMILAR, cap: int = CAP) -> DataFrame:
+def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, component_id) for every row with a doc_id: the smallest doc_id that near duplicates lead to.
 
     Texts of equal words are duplicates, so those without words are one group;
     texts shorter than a shingle are duplicates of equal ones only."""
     own = cut(_own(docs, True))
     texts = cut(own.groupBy("th").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in _FPS]))
-    found = cut(candidates(texts.withColumn("comp", F.col("th")), cap))
-    good = cut(_verified(docs, texts, found.where("b is not null"), similar))
-    comp = components(good)
-    if found.where("b is null").limit(1).count():
-        # what was beyond the cap: only pairs that the links so far don't join can change a group
-        known = texts.join(comp, F.col("th") == F.col("node"), "left").select("th", *_FPS, F.coalesce("component", "th").alias("comp"))
-        rest = cut(candidates(cut(known), None).join(found, ["a", "b"], "left_anti"))
-        comp = components(good.union(_verified(docs, texts, rest, similar)))
+    found = cut(candidates(texts.withColumn("comp", F.col("th")), range(FIRST)))
+    known = components(found)
+    rest = cut(texts.join(known, F.col("th") == F.col("node"), "left").select("th", *_FPS, F.coalesce("component", "th").alias("comp")))
+    found = cut(found.union(candidates(rest, range(FIRST, TABLES))))
+    clusters = cut(components(found).select(F.col("node").alias("th"), F.col("component").alias("comp")))
+    comp = components(cut(_verified(docs, texts, clusters, similar)))
     whole = texts.join(comp, F.col("th") == F.col("node"), "left").select("th", "rep", F.coalesce("component", "th").alias("comp"))
     least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
     return own.select("doc_id", "th").join(whole.select("th", "comp").join(least, "comp"), "th").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, similar: float = SIMILAR, cap: int = CAP) -> DataFrame:
+def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs without those whose group holds a smaller doc_id; rows with a null doc_id and, of equal doc_ids, all rows stay."""
-    gone = groups(docs, similar, cap).where("doc_id > component_id").select("doc_id").distinct()
+    gone = groups(docs, similar).where("doc_id > component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

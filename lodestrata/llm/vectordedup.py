@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, ship
-from .components import components
+from .components import components, join
 from .vectors import exact_cosine, matrix, unit, valid_vectors
 
 THRESHOLD = 0.9
@@ -172,19 +172,6 @@ def count_collisions(windows, queries: np.ndarray, width: float, least: int) ->
     return ge
 
 
-def _join(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Joins the classes of u and v in label (each row's label: the least row of its class)."""
-    while True:
-        a, b = label[u], label[v]
-        differ = a != b
-        if not differ.any():
-            return
-        a, b, u, v = a[differ], b[differ], u[differ], v[differ]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (nxt := label[label]).tobytes() != label.tobytes():
-            label[:] = nxt
-
-
 def link_blocks(known):
     """Grouped function: counts the links within a part of a block, or between the two parts of a group."""
 
@@ -218,7 +205,7 @@ def link_blocks(known):
                 if second is not first:
                     links[to] += copies[q] @ ok
                 a, b = np.nonzero(ok)
-                _join(label, q[a], to[b])
+                join(label, q[a], to[b])
         node = pdf.node.to_numpy()
         least = np.full(len(x), np.iinfo(np.int64).max)
         np.minimum.at(least, label, node)

@@ -1,7 +1,9 @@
 """The pipeline's near-duplicate stage against brute force."""
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import neardup
 
@@ -54,11 +56,37 @@ def test_stage_like_brute_force(spark):
     assert pairs > 100 and gone <= want and len(want - gone) <= 0.01 * len(want)
 
 
-def test_beyond_the_cap(spark):
+def test_blocks_of_a_cluster(spark, monkeypatch):
     rows = corpus()[:80]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in neardup.groups(docs).collect()}
-    assert {(r.doc_id, r.component_id) for r in neardup.groups(docs, cap=1).collect()} == got
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 2)
+    assert {(r.doc_id, r.component_id) for r in neardup.groups(docs).collect()} == got
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text, of which few pairs are similar enough: no pair of them is emitted but what spans."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(1, 14)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r.doc_id for r in neardup.groups(docs).where("doc_id > component_id").collect()}
+    assert gone == brute(rows)[0] and 50 < len(gone) < 299
+    texts = neardup._own(docs, True).withColumn("comp", F.col("th"))
+    assert neardup.candidates(texts, range(8)).count() < 8 * 300
+
+
+def test_similar_pairs_are_exact():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))).astype(np.uint64) for _ in range(40)]
+    want = {(i, j) for i in range(15) for j in range(25) if neardup.jaccard(set(sets[i]), set(sets[15 + j])) >= 0.3 and len(sets[i]) + len(sets[15 + j])}
+    assert set(zip(*(x.tolist() for x in neardup.similar_pairs(sets[:15], sets[15:], 0.3, width=7)))) == want
 
 
 def test_odd_rows(odd, empty):
