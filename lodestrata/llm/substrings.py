@@ -50,7 +50,7 @@ def chunk_ends(data: bytes, ends: int = ENDS, most: int = MOST) -> np.ndarray:
 
 
 def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
-    """(digest, doc_id[, place]) of every chunk.
+    """(digest, doc_id[, copy][, place]) of every chunk; copy is there if docs has it.
 
     place packs the chunk's start, its size and the word starts in it, in the
     two before and in the two after, from the highest bits down; all but the
@@ -61,45 +61,47 @@ def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            ids, cols = b.column(0).to_pylist(), [[], [], []]
-            for doc, text in zip(ids, b.column(1)):
+            ids, cols = zip(*(c.to_pylist() for c in b.columns[:-1])), [[] for _ in names]
+            for own, text in zip(ids, b.column(b.num_columns - 1)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if not data or doc is None:
+                if not data or own[0] is None:
                     continue
                 e = chunk_ends(data, ends, most)
                 s = np.concatenate([[0], e[:-1]])
                 cols[0].append(np.array([digest(data[x:y]) for x, y in zip(s.tolist(), e.tolist())], np.uint64).view(np.int64))
-                cols[1].append(np.full(len(e), doc, np.int64))
+                for c, value in zip(cols[1:], own):
+                    c.append(np.full(len(e), value, np.int64))
                 if places:
                     blank = _SPACE[np.frombuffer(data, np.uint8)]
                     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
                     w = np.searchsorted(begins, e) - np.searchsorted(begins, s)
                     pad = np.concatenate([[0, 0], w, [0, 0]])
-                    cols[2].append(s << 4 * _W | (e - s) << 3 * _W | w << 2 * _W | (pad[:-4] + pad[1:-3]) << _W | pad[3:-1] + pad[4:])
+                    cols[-1].append(s << 4 * _W | (e - s) << 3 * _W | w << 2 * _W | (pad[:-4] + pad[1:-3]) << _W | pad[3:-1] + pad[4:])
                 if sum(map(len, cols[0][-50:])) > 200_000 or len(cols[0]) >= 2000:
                     yield pa.RecordBatch.from_pydict({n: np.concatenate(c).astype(np.int64) for n, c in zip(names, cols)})
-                    cols = [[], [], []]
+                    cols = [[] for _ in names]
             if cols[0]:
                 yield pa.RecordBatch.from_pydict({n: np.concatenate(c).astype(np.int64) for n, c in zip(names, cols)})
 
-    names = ["digest", "doc_id"] + ["place"] * places
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    own = ["doc_id"] + ["copy"] * ("copy" in docs.columns)
+    names = ["digest", *own] + ["place"] * places
+    return docs.select(*own, "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _context(batches):
     """The text around each chunk as far as SHORT + 1 words on either side, and whether text goes on beyond."""
     for b in batches:
-        rows = {n: [] for n in ("doc_id", "run", "other", "left", "chunk", "right")}
-        for doc, run, other, place, short, text in zip(*(c.to_pylist() for c in b.columns)):
+        rows = {n: [] for n in ("doc_id", "copy", "run", "other", "left", "chunk", "right")}
+        for doc, copy, run, other, place, short, text in zip(*(c.to_pylist() for c in b.columns)):
             data = (text or "").encode("utf-8", "surrogatepass")
             start, size = place >> 4 * _W, place >> 3 * _W & (1 << _W) - 1
             left, right = data[:start], data[start + size :]
             spare = left.rsplit(None, short + 1), right.split(None, short + 1)
             left = left[len(spare[0][0]) :] if len(spare[0]) > short + 1 else b"\n" + left
             right = right[: len(right) - len(spare[1][-1])] if len(spare[1]) > short + 1 else right + b"\n"
-            for n, v in zip(rows, (doc, run, other, left, data[start : start + size], right)):
+            for n, v in zip(rows, (doc, copy, run, other, left, data[start : start + size], right)):
                 rows[n].append(v)
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "run", "other")] + [(n, pa.binary()) for n in ("left", "chunk", "right")]))
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "copy", "run", "other")] + [(n, pa.binary()) for n in ("left", "chunk", "right")]))
 
 
 def _same(a: bytes, b: bytes) -> int:
@@ -127,8 +129,8 @@ def shared_words(left: bytes, chunk: bytes, right: bytes, other: bytes) -> int:
 def _held(short: int):
     def run(batches):
         for b in batches:
-            keep = [shared_words(left, chunk, right, (text or "").encode("utf-8", "surrogatepass")) > short for left, chunk, right, text in zip(*(b.column(i).to_pylist() for i in range(3, 7)))]
-            yield b.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+            keep = [shared_words(left, chunk, right, (text or "").encode("utf-8", "surrogatepass")) > short for left, chunk, right, text in zip(*(b.column(i).to_pylist() for i in range(4, 8)))]
+            yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -144,29 +146,37 @@ def repeated_passages(docs: DataFrame, short: int = SHORT, ends: int = ENDS, mos
     run's first chunk, or the short run's passage; first tells that it is
     greater than doc_id.  Documents without such
     passages have no row.  Null and empty texts and rows with a null doc_id
-    have no chunks; rows with equal doc_id count as one document; other
-    columns are ignored; an empty table gives an empty table.  A digest's
+    have no chunks; rows with equal doc_id count as one document, but the
+    places are those of each distinct text; other columns are ignored; an empty table gives an empty table.  A digest's
     documents are only ever folded to the least and the greatest."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    h, key = F.xxhash64("text"), ["doc_id"]
+    twice = docs.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi and doc_id is not null").select("doc_id")
+    if not twice.isEmpty():  # rare: only then rows have to tell the texts of a document apart
+        docs = docs.join(twice.withColumn("copy", F.lit(True)), "doc_id", "left").withColumn("copy", F.when(F.col("copy"), h).otherwise(F.lit(0)))
+        key += ["copy"]
     span = _chunks(docs, ends, most, False).groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     hit = _chunks(docs, ends, most, True).join(span, "digest")
     # a row is narrow until it has reached its document; one shuffle serves the distinct rows and the windows
-    row = hit.select("doc_id", "place", F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")).repartition("doc_id").distinct()
+    row = hit.select(*key, "place", F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")).repartition(*key).distinct()
     part = lambda i: F.shiftright("place", _W * i).bitwiseAND(F.lit((1 << _W) - 1))
-    w = Window.partitionBy("doc_id").orderBy("place")
-    row = row.select("doc_id", "place", "other", F.shiftright("place", 4 * _W).alias("start"), part(3).alias("size"), part(2).alias("words"))
+    w = Window.partitionBy(*key).orderBy("place")
+    row = row.select(*key, "place", "other", F.shiftright("place", 4 * _W).alias("start"), part(3).alias("size"), part(2).alias("words"))
     new = F.when(F.lag(F.col("start") + F.col("size")).over(w) == F.col("start"), 0).otherwise(1)
     run = row.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     held = F.collect_list(F.struct("other", "place")).alias("held")
-    out = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"), F.min("place").alias("begin"), F.max("place").alias("place"), F.min_by("other", "place").alias("other_doc_id"), held)
+    out = run.groupBy(*key, "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("n_words"), F.min("place").alias("begin"), F.max("place").alias("place"), F.min_by("other", "place").alias("other_doc_id"), held)
     before, after = F.shiftright("begin", _W).bitwiseAND(F.lit((1 << _W) - 1)), part(0)
     out = out.where(F.col("n_words") + before + after > short)
     out = cut(out.withColumn("held", F.when(F.col("n_words") <= short, F.col("held"))).drop("begin", "place"))
-    text = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
-    ask = out.select("doc_id", "run", F.explode("held").alias("h")).groupBy("doc_id", "run", F.col("h.other").alias("other")).agg(F.min("h.place").alias("place"))
-    ask = ask.join(text, F.col("doc_id") == F.col("d")).select("doc_id", "run", "other", "place", F.lit(short).alias("short"), "text")
-    ask = ask.mapInArrow(_context, "doc_id long, run long, other long, left binary, chunk binary, right binary")
-    ask = ask.join(text, F.col("other") == F.col("d")).select("doc_id", "run", "other", "left", "chunk", "right", "text")
-    found = ask.mapInArrow(_held(short), "doc_id long, run long, other long").groupBy("doc_id", "run").agg(F.min("other").alias("found"))
-    few = out.where(F.col("n_words") <= short).join(found, ["doc_id", "run"]).withColumn("other_doc_id", F.col("found"))
+    if len(key) == 1:
+        out, docs = out.withColumn("copy", F.lit(0).cast("long")), docs.withColumn("copy", F.lit(0).cast("long"))
+    text = docs.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text").distinct() if len(key) > 1 else docs.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text")
+    ask = out.select("doc_id", "copy", "run", F.explode("held").alias("h")).groupBy("doc_id", "copy", "run", F.col("h.other").alias("other")).agg(F.min("h.place").alias("place"))
+    ask = ask.join(text, (F.col("doc_id") == F.col("d")) & (F.col("copy") == F.col("c"))).select("doc_id", "copy", "run", "other", "place", F.lit(short).alias("short"), "text")
+    ask = ask.mapInArrow(_context, "doc_id long, copy long, run long, other long, left binary, chunk binary, right binary")
+    ask = ask.join(text.drop("c"), F.col("other") == F.col("d")).select("doc_id", "copy", "run", "other", "left", "chunk", "right", "text")
+    found = ask.mapInArrow(_held(short), "doc_id long, copy long, run long, other long").groupBy("doc_id", "copy", "run").agg(F.min("other").alias("found"))
+    few = out.where(F.col("n_words") <= short).join(found, ["doc_id", "copy", "run"]).withColumn("other_doc_id", F.col("found"))
     columns = ["doc_id", "start", "size", "n_words", "other_doc_id"]
     return out.where(F.col("n_words") > short).select(columns).union(few.select(columns)).withColumn("first", F.col("other_doc_id") > F.col("doc_id"))

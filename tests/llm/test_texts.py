@@ -21,10 +21,11 @@ def ids(df, name="doc_id"):
     return sorted((r[name] is None, r[name] or 0) for r in df.collect())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 20, 200_000])
+def test_components(spark, few):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 440)] + [(5, 5), (None, 3)] + [(1000, 1000 + i) for i in range(60)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     root = {}
 
     def find(x):
@@ -37,7 +38,7 @@ def test_components(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in root}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
 
 
 def test_forward_backward_is_exact():
@@ -399,6 +400,16 @@ def test_repeated_passages(spark, odd, empty):
     assert {r.doc_id for r in substrings.repeated_passages(odd).collect()} <= {4, 9} and substrings.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_repeated_ids(spark):
+    """Each text of a document counts, and is read at its own places."""
+    rng = random.Random(9)
+    a, b = (" ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9))) for _ in range(80)) for _ in range(2))
+    rows = [(1, a), (1, b), (1, b), (2, "x " + a + " y"), (3, "z " + b), (4, "w")]
+    got = {(r.doc_id, r.other_doc_id) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 2), (1, 3), (2, 1), (3, 1)}
+    assert substrings.repeated_passages(spark.createDataFrame([(1, a), (1, a + " " + b)], "doc_id long, text string")).count() == 0
+
+
 def test_passages_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     texts = [(r.doc_id, (r.text or "").split()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
