@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .bits import flip_bit, get_bit, window32
+from .bits import flip_bit, get_bit, shl, window32
 
 
 def collisions(rows: DataFrame, h: str = "h", bits: int = 32) -> DataFrame:
@@ -36,17 +36,85 @@ def choose(n: Column, k: Column) -> Column:
     return F.when(k > n, F.lit(0).cast("long")).when(k == 0, F.lit(1).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(1).cast("long"), lambda a, i: (a * (n - k + i) / i).cast("long")))
 
 
-def window_scores(rows: DataFrame, width: int, starts=range(32), h: str = "h") -> DataFrame:
-    """(start, width, score): 0 is even; counts are combined before the shuffle, empty bins add nothing."""
-    each = rows.select(F.explode(F.array(*[F.struct(F.lit(s).alias("start"), window32(F.col(h), s, width).alias("bin")) for s in starts])).alias("x")).select("x.*")
-    b = each.groupBy("start", "bin").agg(F.count("*").cast("double").alias("b"))
-    bins = float(1 << width)
-    t = b.groupBy("start").agg(F.sum("b").alias("k"), F.sum(F.col("b") * F.col("b")).alias("q"))
-    return t.select("start", F.lit(width).alias("width"), (1 - ((F.col("k") * F.col("k") - 1) / (F.col("q") - F.col("k"))) / bins).alias("score"))
+def choose_up_to(n: Column, k: Column) -> Column:
+    """Number of non-empty subsets of up to k of n."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0).cast("long"), lambda a, i: a + F.when(i <= k, choose(n, i)).otherwise(F.lit(0)))
+
+
+def _score(k: Column, q: Column, bins) -> Column:
+    """0 is even; null where no two keys share a bin.  k keys, q the sum of the bins' squared counts."""
+    return 1 - ((k * k - 1) / F.nullif(q - k, F.lit(0.0))) / bins
+
+
+def window_counts(rows: DataFrame, width: int, starts=range(32), h: str = "h", by: list[str] = []) -> DataFrame:
+    """(by, start, bin, b): keys of each window; counts are combined before the shuffle, empty bins have no row."""
+    each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("start"), window32(F.col(h), s, width).alias("bin")) for s in starts])).alias("x")).select(*by, "x.*")
+    return each.groupBy(*by, "start", "bin").agg(F.count("*").cast("double").alias("b"))
+
+
+def folded(counts: DataFrame, width: int, least: int = 8, by: list[str] = []) -> DataFrame:
+    """window_counts for each width from `width` down to `least`: the upper half of the bins is added to the lower."""
+    w = F.explode(F.array(*[F.lit(i) for i in range(least, width + 1)]))
+    each = counts.select(*by, "start", "bin", "b", w.alias("width")).withColumn("bin", F.col("bin").bitwiseAND(shl(F.lit(1).cast("long"), F.col("width")) - 1))
+    return each.groupBy(*by, "start", "width", "bin").agg(F.sum("b").alias("b"))
+
+
+def scores(counts: DataFrame, by: list[str] = []) -> DataFrame:
+    """(by, start, width, score) of folded counts: 0 is even."""
+    t = counts.groupBy(*by, "start", "width").agg(F.sum("b").alias("k"), F.sum(F.col("b") * F.col("b")).alias("q"))
+    return t.select(*by, "start", "width", _score(F.col("k"), F.col("q"), F.pow(F.lit(2.0), "width")).alias("score"))
+
+
+def window_scores(rows: DataFrame, width: int, starts=range(32), h: str = "h", by: list[str] = []) -> DataFrame:
+    """(by, start, width, score) of windows of one width."""
+    return scores(window_counts(rows, width, starts, h, by).withColumn("width", F.lit(width)), by)
+
+
+def widest(n: int, most: int = 20, keys: int = 5) -> int:
+    """The largest window width, to `most`, that leaves so many keys a bin."""
+    return next((w for w in range(most, 0, -1) if n >= keys << w), 0)
+
+
+def worst_over_widths(rows: DataFrame, h: str = "h", least: int = 8) -> DataFrame:
+    """(start, width, score, biased): the worst window over all starts and widths with five keys a bin; biased from one per cent on.
+
+    Keys are counted once, at the widest windows, and the counts folded; no row with too few keys."""
+    w = widest(rows.count())
+    counts = window_counts(rows, max(w, least), h=h)
+    return worst_window(scores(folded(counts, max(w, least), least)).where(F.lit(w >= least))).where("start is not null").withColumn("biased", F.col("score") >= 0.01)
+
+
+def fast_scores(rows: DataFrame, h: str = "h") -> DataFrame:
+    """(worst, mean) of the 16-bit windows at byte starts."""
+    return window_scores(rows, 16, range(0, 32, 8), h).agg(F.max("score").alias("worst"), F.avg("score").alias("mean"))
+
+
+def byte_pairs(rows: DataFrame, starts=range(32), h: str = "h") -> DataFrame:
+    """(a, b, score) of the 65,536 bins of two 8-bit windows, a <= b; the order of a pair makes no difference."""
+    pair = lambda a, b: window32(F.col(h), a, 8).bitwiseOR(F.shiftleft(window32(F.col(h), b, 8), 8))
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pair(a, b).alias("bin")) for a in starts for b in starts if a <= b]))
+    n = rows.select(each.alias("x")).select("x.*").groupBy("a", "b", "bin").agg(F.count("*").cast("double").alias("n"))
+    t = n.groupBy("a", "b").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return t.select("a", "b", _score(F.col("k"), F.col("q"), 65536.0).alias("score"))
+
+
+def differential_scores(rows: DataFrame, key: str, hashed, in_bits: int, width: int = 8) -> DataFrame:
+    """(in_bit, n, collisions, worst): of the differences of hashes when an input bit is flipped, their collisions and worst window."""
+    d = rows.select(hashed(F.col(key)).alias("h0"), F.explode(F.sequence(F.lit(0), F.lit(in_bits - 1))).alias("in_bit"), F.col(key).alias("k"))
+    d = d.select("in_bit", F.col("h0").bitwiseXOR(hashed(flip_bit(F.col("k"), F.col("in_bit")))).alias("h"))
+    same = d.groupBy("in_bit", "h").agg(F.count("*").alias("c")).groupBy("in_bit").agg(F.sum("c").alias("n"), F.sum(F.col("c") - 1).alias("collisions"))
+    worst = window_scores(d, width, by=["in_bit"]).groupBy("in_bit").agg(F.max("score").alias("worst"))
+    return same.join(worst, "in_bit")
+
+
+def key_list(rows: DataFrame, hashed, key: str, bits: int = 32) -> DataFrame:
+    """(n, collisions, expected, ok, start, width, score, biased): all keys hashed, then the collision and the distribution test."""
+    h = rows.select(hashed(F.col(key)).alias("h"))
+    return collisions(h, bits=bits).crossJoin(worst_over_widths(h))
 
 
 def worst_window(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.max_by(F.struct("start", "width", "score"), F.struct(F.col("score"), -F.col("start"))).alias("s")).select("s.*")
+    return scores.agg(F.max_by(F.struct("start", "width", "score"), F.struct(F.col("score"), -F.col("start"), -F.col("width"))).alias("s")).select("s.*")
 
 
 def flips(rows: DataFrame, key: str, hashed, in_bits: int, out_bits: int) -> DataFrame:

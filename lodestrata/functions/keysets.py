@@ -81,3 +81,14 @@ def seeds(spark: SparkSession, n: int, key: str) -> DataFrame:
 def strided(rows: DataFrame, column: str, prime: int, n: int) -> DataFrame:
     """The column's access pattern: id * prime mod n."""
     return rows.withColumn("target", F.pmod(F.col(column) * prime, F.lit(n)))
+
+
+def recurrence(spark: SparkSession, n: int, modulus: int) -> DataFrame:
+    """(id, value) of the first n values of c -> (3 c + 1) mod modulus from c = 0, in closed form: (3^i - 1) / 2.
+
+    The power is taken modulo twice the modulus, by squaring; modulus is below 2^30."""
+    m = F.lit(2 * modulus).cast("long")
+    squares = [pow(3, 1 << i, 2 * modulus) for i in range(max(1, n.bit_length()))]
+    picked = F.filter(F.array(*[F.lit(x).cast("long") for x in squares]), lambda _, i: shr(F.col("id"), i).bitwiseAND(F.lit(1)) == 1)
+    power = F.aggregate(picked, F.lit(1).cast("long"), lambda a, x: F.pmod(a * x, m))
+    return spark.range(1, n + 1).select("id", F.pmod(F.shiftright(power - 1, 1), F.lit(modulus)).alias("value"))

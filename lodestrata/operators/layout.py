@@ -37,12 +37,37 @@ def varint_value(encoded: Column) -> Column:
     return F.when(first < 128, first).otherwise(first.bitwiseAND(F.lit(127)) + F.shiftleft(second.bitwiseAND(F.lit(31)), 7) + rest)
 
 
+def varint_checked(encoded: Column) -> Column:
+    """The long of an encoding that may be cut off; null where it is short."""
+    size, head = F.length(encoded) / 2, lambda i: F.conv(F.substring(encoded, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("long")
+    return F.when((size >= 1) & (head(0) < 128), head(0)).when((size >= 2) & (size >= 2 + F.shiftright(head(1), 5)), varint_value(encoded))
+
+
+def u64_hex(x: Column) -> Column:
+    """The eight little-endian bytes of a long's bit pattern, as lower-case hex."""
+    return F.lower(F.concat(*[F.lpad(F.hex(shr(x, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(8)]))
+
+
+def u64_value(encoded: Column) -> Column:
+    """The long of eight little-endian bytes in hex; null unless there are eight."""
+    byte = lambda i: F.conv(F.substring(encoded, 2 * i + 1, 2), 16, 10).cast("long")
+    out = byte(0)
+    for i in range(1, 8):
+        out = out.bitwiseOR(shl(byte(i), 8 * i))
+    return F.when(F.length(encoded) == 16, out)
+
+
 def common_prefix(a: Column, b: Column) -> Column:
-    """Bytes of the longest common prefix; 0 for null."""
+    """Bytes of the longest common prefix, by halving; 0 for null."""
     n = F.least(F.octet_length(a), F.octet_length(b))
     x, y = a.cast("binary"), b.cast("binary")
-    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(x, F.lit(1), i) == F.substring(y, F.lit(1), i)))
-    return F.when(n > 0, same).otherwise(0)
+    steps = F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+
+    def longer(got, i):
+        to = got + shl(F.lit(1), i)
+        return F.when((to <= n) & (F.substring(x, F.lit(1), to) == F.substring(y, F.lit(1), to)), to).otherwise(got)
+
+    return F.when(n > 0, F.aggregate(steps, F.lit(0), longer)).otherwise(0)
 
 
 def restarts(run: DataFrame, key: str = "k", stride: int = STRIDE) -> DataFrame:

@@ -20,6 +20,11 @@ def upsert_latest(log: DataFrame, key: str = "k", order: str = "seq") -> DataFra
     return best.select(key, "s.*", "replaced")
 
 
+def upsert_record(log: DataFrame, record: str, kept: list[str], key: str = "k", order: str = "seq") -> DataFrame:
+    """(key, record, kept...): the newest record per key; the kept columns (timestamps) are not replaced but their greatest."""
+    return log.groupBy(key).agg(F.max_by(record, order).alias(record), *[F.max(c).alias(c) for c in kept])
+
+
 def live_view(log: DataFrame, key: str = "k", order: str = "seq") -> DataFrame:
     """The latest versions that are no tombstones."""
     return upsert_latest(log, key, order).where(~F.col("is_deleted")).drop("replaced", "is_deleted")

@@ -51,6 +51,17 @@ def trim_outliers(samples: DataFrame, value: str) -> DataFrame:
     return d.where(F.col("pos") < size).select(value)
 
 
+def trim_both(samples: DataFrame, value: str, rounds: int = 10, width: float = 3.0) -> DataFrame:
+    """The samples left after so many rounds that drop what is over `width` standard deviations from the mean of what is left, as (value)."""
+    d = samples.select(value).where(F.col(value).isNotNull())
+    for _ in range(rounds):
+        a, s = d.agg(F.avg(value), F.stddev_pop(value)).first()
+        if a is None:
+            break
+        d = d.where(F.abs(F.col(value) - F.lit(a)) <= F.lit(width * s))
+    return d
+
+
 # Fixed values of the header rule.
 TYPES = ("feat", "fix", "docs", "style", "refactor", "perf", "test", "build", "ci", "chore", "merge", "revert")
 HEADER = r"^([a-z]+)\((.*?)\)([!]?): (.*?)$"
@@ -66,7 +77,8 @@ def rectified(s: Column) -> Column:
     return F.regexp_replace(s, r"[^a-zA-Z0-9]+$", "")
 
 
-def header_ok(header: Column, types=TYPES, scopes=("*", "memtable", "sstable", "lsmtree")) -> Column:
+def header_ok(header: Column, scopes, types=TYPES) -> Column:
+    """Whether a header has the shape, a known type and scope, and a description in its accepted form."""
     part = lambda i: F.regexp_extract(header, HEADER, i)
     return F.coalesce(header.rlike(HEADER) & part(1).isin(*types) & part(2).isin(*scopes) & (F.length(part(4)) > 0) & (rectified(part(4)) == part(4)), F.lit(False))
 
@@ -75,7 +87,7 @@ def body_ok(text: Column) -> Column:
     """Lines after the first: no white space at their ends, no more than WIDTH characters below 256 and no tabs; no triple and no last line break."""
     lines = F.slice(F.split(text, "\n"), F.lit(2), F.greatest(F.size(F.split(text, "\n")) - 1, F.lit(0)))
     body = F.array_join(lines, "\n")
-    fine = F.forall(lines, lambda x: (F.rtrim(x) == x) & (F.length(x) <= WIDTH) & ~x.rlike(r"[^\x00-\xFF]|\t"))
+    fine = F.forall(lines, lambda x: (F.length(x) <= WIDTH) & ~x.rlike(r"[^\x00-\xFF]|\t|[\x09-\x0D\x1C-\x20\x85\xA0]\z"))
     return F.coalesce(fine & ~body.contains("\n\n\n") & ~body.endswith("\n"), F.lit(False))
 
 

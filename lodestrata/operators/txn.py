@@ -6,8 +6,10 @@ over the partition as a stream and holds one key's two timestamps.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.util import cut
 
@@ -69,13 +71,48 @@ def status(v: DataFrame) -> DataFrame:
 
 
 def cascade(v: DataFrame) -> DataFrame:
-    """(ts) of the transactions that an abort takes down: the aborted ones and all that depend on them, at any remove."""
+    """(ts) of the transactions that an abort takes down: the aborted ones and all that depend on them, at any remove.
+
+    Each round writes its own front only."""
     v = cut(v)
     deps = cut(dependencies(v))
-    reached = cut(status(v).where("status = 'aborted'").select("ts"))
-    front = reached
-    while True:
-        new = cut(deps.join(front.withColumnRenamed("ts", "dep"), "dep", "left_semi").select("ts").distinct().join(reached, "ts", "left_anti"))
-        if new.isEmpty():
-            return reached
-        reached, front = cut(reached.union(new)), new
+    fronts = [cut(status(v).where("status = 'aborted'").select("ts"))]
+    while not fronts[-1].isEmpty():
+        reached = reduce(DataFrame.union, fronts)
+        fronts.append(cut(deps.join(fronts[-1].withColumnRenamed("ts", "dep"), "dep", "left_semi").select("ts").distinct().join(reached, "ts", "left_anti")))
+    return reduce(DataFrame.union, fronts)
+
+
+def _valued(v: DataFrame, values: DataFrame) -> DataFrame:
+    """Verdicts with the value that each operation brings (null: a tombstone) and whether it wrote."""
+    wrote = F.col("op").isin("W", "RW") & (F.col("verdict") == "ok")
+    return v.join(values.select("seq", "value"), "seq").withColumn("wrote", wrote)
+
+
+def read_values(v: DataFrame, values: DataFrame) -> DataFrame:
+    """(seq, k, ts, writer, value) of the accepted reads: the operation that wrote what they read, and its value.
+
+    writer is null where nothing was written before, value too for a
+    tombstone.  values: (seq, value)."""
+    w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("wrote"), F.struct("seq", "value")), ignorenulls=True).over(w)
+    d = _valued(v, values).withColumn("last", last).where(F.col("op").isin("R", "RW") & (F.col("verdict") == "ok"))
+    return d.select("seq", "k", "ts", F.col("last.seq").alias("writer"), F.col("last.value").alias("value"))
+
+
+def undo_log(v: DataFrame, values: DataFrame) -> DataFrame:
+    """(ts, seq, k, old_ts_write, old_value): what each accepted write replaced; 0 and null where nothing stood."""
+    w = Window.partitionBy("k").orderBy("seq")
+    d = _valued(v, values).where("wrote")
+    return d.select("ts", "seq", "k", F.lag("ts", 1, 0).over(w).alias("old_ts_write"), F.lag("value").over(w).alias("old_value"))
+
+
+def rolled_back(v: DataFrame, values: DataFrame) -> DataFrame:
+    """(k, seq, ts_write, value): the store once the aborted transactions, and all that depend on them, are undone.
+
+    Their writes count as never done; a later write of another transaction
+    stands.  Keys without a write left have no row.  One row a task and key is
+    shuffled."""
+    v = cut(v)
+    left = _valued(v, values).where("wrote").join(cascade(v), "ts", "left_anti")
+    return left.groupBy("k").agg(F.max_by(F.struct("seq", F.col("ts").alias("ts_write"), "value"), "seq").alias("s")).select("k", "s.*")

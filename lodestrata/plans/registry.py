@@ -148,6 +148,62 @@ def run_compact(spark, sf_dir) -> DataFrame:
     return layout.compact(_runs(spark, sf_dir), scratch(spark, "compact"), bottom=True).select("k", "run", "seq", "v")
 
 
+def _flushed(spark, sf_dir):
+    return layout.flush(kv_orders(spark, sf_dir).select("k", "v", "seq"), scratch(spark, "run"))
+
+
+@query(f"WITH {SQL_ORDERS} SELECT k, v, seq FROM kv_orders WHERE k = 'sample-key-1000'")
+def run_point_get(spark, sf_dir) -> DataFrame:
+    """On a flushed run the key reaches the scan: its bloom filter and the row groups' bounds prune it."""
+    return access.point_get(_flushed(spark, sf_dir), "sample-key-1000").select("k", "v", "seq")
+
+
+@query(f"WITH {SQL_ORDERS} SELECT k, v FROM kv_orders WHERE k >= 'sample-key-2' AND k < 'sample-key-3'")
+def run_range_scan(spark, sf_dir) -> DataFrame:
+    return access.range_scan(_flushed(spark, sf_dir), "sample-key-2", "sample-key-3").select("k", "v")
+
+
+@query(f"WITH {SQL_LOG} SELECT k, arg_max(v, seq) FILTER (v IS NOT NULL) AS v, max(CASE WHEN v = 'view' THEN seq ELSE 0 END) AS ts_read, max(CASE WHEN v <> 'view' THEN seq ELSE 0 END) AS ts_write FROM kv_log WHERE v IS NOT NULL GROUP BY k")
+def kv_record_upsert(spark, sf_dir) -> DataFrame:
+    d = kv_log(spark, sf_dir).where("v is not null").withColumns({"ts_read": F.when(F.col("v") == "view", F.col("seq")).otherwise(0), "ts_write": F.when(F.col("v") != "view", F.col("seq")).otherwise(0)})
+    return merge.upsert_record(d, "v", ["ts_read", "ts_write"])
+
+
+# values of all lengths from one to nine bytes, encoded
+WIDTHS = """x AS (SELECT event_id, (1::BIGINT << (event_id % 63)::INT) + event_id AS x FROM events),
+n AS (SELECT *, CASE WHEN x < 128 THEN 1 WHEN x < 4096 THEN 2 ELSE (2 + ceil((len(bin(x)) - 12) / 8.0))::INT END AS n FROM x),
+e AS (SELECT event_id, x, n, CASE WHEN n = 1 THEN printf('%02x', x) ELSE printf('%02x%02x', (x & 127) | 128, ((n - 2) << 5) | ((x >> 7) & 31)) || coalesce(array_to_string([printf('%02x', (x >> (12 + 8 * i)::INT) & 255) FOR i IN range(n - 2)], ''), '') END AS encoded FROM n)"""
+
+
+@query(f"WITH {WIDTHS} SELECT event_id, encoded, x AS decoded, CASE WHEN event_id % 10 >= n THEN x END AS checked FROM e")
+def varint_wide(spark, sf_dir) -> DataFrame:
+    """checked decodes the first event_id mod 10 bytes."""
+    e = F.col("event_id")
+    d = table(spark, sf_dir, "events").select(e, layout.varint_hex(bits.shl(F.lit(1).cast("long"), e % 63) + e).alias("encoded"))
+    part = F.substring(F.col("encoded"), F.lit(1), (2 * (e % 10)).cast("int"))
+    return d.select(e, "encoded", layout.varint_value(F.col("encoded")).alias("decoded"), layout.varint_checked(part).alias("checked"))
+
+
+@query("SELECT event_id, array_to_string([printf('%02x', (x >> (8 * i)::INT) & 255) FOR i IN range(8)], '') AS encoded, x AS decoded FROM (SELECT event_id, event_id * event_id * event_id * 37 AS x FROM events)")
+def u64_roundtrip(spark, sf_dir) -> DataFrame:
+    e = F.col("event_id")
+    d = table(spark, sf_dir, "events").select(e, layout.u64_hex(e * e * e * 37).alias("encoded"))
+    return d.select(e, "encoded", layout.u64_value(F.col("encoded")).alias("decoded"))
+
+
+# layout with values of over 127 bytes, whose length takes two bytes
+LONG_RUN = """b AS (SELECT 'sample-key-' || o_orderkey AS k, repeat(o_orderpriority, (o_orderkey % 40)::INT) AS v FROM orders),
+r AS (SELECT k, v, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n, lag(k) OVER (ORDER BY k) AS prev FROM b), s AS (SELECT *, pos % 51 = 0 OR pos = n - 1 AS restart FROM r),
+f AS (SELECT *, CASE WHEN restart THEN 0 ELSE len(list_filter(range(1, least(length(k), length(prev)) + 1), lambda i: left(k, i) = left(prev, i))) END AS common_len FROM s)"""
+
+
+@query(f"WITH {LONG_RUN} SELECT k, pos, 3 + CASE WHEN length(v) < 128 THEN 1 ELSE 2 END + length(k) - common_len + length(v) AS size FROM f")
+def run_layout_long(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    run = o.select(F.concat(F.lit("sample-key-"), "o_orderkey").alias("k"), F.expr("repeat(o_orderpriority, cast(o_orderkey % 40 as int))").alias("v"))
+    return layout.layout(run).select("k", "pos", "size")
+
+
 # the word-mix hash of 'key-' and eight digits: one word and a tail of four bytes
 W = 1 << 64
 HASHED = f"""b AS (SELECT event_id, 'key-' || lpad(event_id::VARCHAR, 8, '0') AS k FROM events),
@@ -211,6 +267,17 @@ def bloom_build(spark, sf_dir) -> DataFrame:
     return bloom.build(kv_orders(spark, sf_dir), bloom.md5_hash(F.col("k")))
 
 
+@query("""WITH p AS (SELECT unnest([('0x' || substr(md5(k), 9, 4))::BIGINT, ('0x' || substr(md5(k), 5, 4))::BIGINT]) AS p FROM (SELECT 'sample-key-' || o_orderkey AS k FROM orders WHERE o_orderkey % 4 = 0)),
+b AS (SELECT p >> 3 AS byte, bit_or(1 << (p & 7)::INT) AS value FROM p GROUP BY 1)
+SELECT count(*) AS size, md5(unhex(string_agg(printf('%02x', coalesce(value, 0)), '' ORDER BY i))) AS digest, count(value) AS used FROM range(8192) t(i) LEFT JOIN b ON b.byte = i""")
+def bloom_packed(spark, sf_dir) -> DataFrame:
+    """Of a filter of 2^16 bits in its serial form: bytes, digest and, read back, the bytes that aren't zero."""
+    run = kv_orders(spark, sf_dir).where("run = 0")
+    packed = bloom.pack(bloom.build(run, bloom.md5_hash(F.col("k")), 16), 16)
+    used = bloom.unpack(packed).agg(F.count("*").alias("used"))
+    return packed.select(F.octet_length("filter").cast("long").alias("size"), F.md5("filter").alias("digest")).crossJoin(used)
+
+
 def _probed(spark, sf_dir):
     built = bloom.build(kv_orders(spark, sf_dir), bloom.md5_hash(F.col("k")))
     probes = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("sample-key-"), "event_id").alias("k"))
@@ -275,6 +342,32 @@ def txn_cascade(spark, sf_dir) -> DataFrame:
     return txn.cascade(_verdicts(spark, sf_dir))
 
 
+# what each accepted write puts: nothing (a tombstone) for errors
+VALUED = """x AS (SELECT v.*, CASE WHEN e.event_type <> 'error' THEN e.event_type || '-' || v.seq END AS value, v.op IN ('W', 'RW') AND v.verdict = 'ok' AS wrote FROM v JOIN events e ON e.event_id = v.seq)"""
+
+
+def _values(spark, sf_dir):
+    t = F.col("event_type")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.when(t != "error", F.concat(t, F.lit("-"), F.col("event_id"))).alias("value"))
+
+
+@query(f"""{R}, {VALUED}, l AS (SELECT *, last_value(CASE WHEN wrote THEN seq END IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS writer FROM x)
+SELECT l.seq, l.k, l.ts, l.writer, w.value FROM l LEFT JOIN x w ON w.seq = l.writer WHERE l.op IN ('R', 'RW') AND l.verdict = 'ok'""")
+def txn_read_value(spark, sf_dir) -> DataFrame:
+    return txn.read_values(_verdicts(spark, sf_dir), _values(spark, sf_dir))
+
+
+@query(f"{R}, {VALUED} SELECT ts, seq, k, coalesce(lag(ts) OVER w, 0) AS old_ts_write, lag(value) OVER w AS old_value FROM x WHERE wrote WINDOW w AS (PARTITION BY k ORDER BY seq)")
+def txn_undo_log(spark, sf_dir) -> DataFrame:
+    return txn.undo_log(_verdicts(spark, sf_dir), _values(spark, sf_dir))
+
+
+@query(f"""{R}, {VALUED}, hit AS (SELECT DISTINCT ts FROM v WHERE verdict = 'abort' UNION SELECT v.ts FROM v JOIN hit ON v.dep = hit.ts)
+SELECT k, seq, ts AS ts_write, value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM x WHERE wrote AND ts NOT IN (SELECT ts FROM hit)) WHERE rn = 1""")
+def txn_rollback(spark, sf_dir) -> DataFrame:
+    return txn.rolled_back(_verdicts(spark, sf_dir), _values(spark, sf_dir))
+
+
 def md5_bits(c, size: int):
     """`size` (a multiple of 4, to 60) bits of md5 of a column's text."""
     return F.conv(F.substring(F.md5(c.cast("string")), 1, size // 4), 16, 10).cast("long")
@@ -302,15 +395,15 @@ def hash_first_collisions(spark, sf_dir) -> DataFrame:
 
 
 @query("""SELECT p_partkey, p_size, round(n * (n - 1) / 131072.0, 6) AS pairs, round(n - 256 + 256 * pow(1 - 1 / 256.0::DOUBLE, n), 6) AS occupancy,
- (list_reduce(list_prepend(1::BIGINT, range(1, 4)), lambda a, i: a * (p_size - 3 + i) // i))::BIGINT AS triples FROM (SELECT p_partkey, p_size, p_partkey::DOUBLE AS n FROM part WHERE p_size >= 3)""")
+ CASE WHEN p_size < 3 THEN 0 ELSE (p_size::BIGINT * (p_size - 1) * (p_size - 2)) // 6 END AS triples FROM (SELECT p_partkey, p_size, p_partkey::DOUBLE AS n FROM part)""")
 def hash_expected(spark, sf_dir) -> DataFrame:
     n = F.col("p_partkey").cast("double")
-    return table(spark, sf_dir, "part").where("p_size >= 3").select("p_partkey", "p_size", F.round(n * (n - 1) / 131072.0, 6).alias("pairs"), F.round(hashstats.occupancy_collisions(n, F.lit(256.0)), 6).alias("occupancy"), hashstats.choose(F.col("p_size"), F.lit(3)).alias("triples"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.round(n * (n - 1) / 131072.0, 6).alias("pairs"), F.round(hashstats.occupancy_collisions(n, F.lit(256.0)), 6).alias("occupancy"), hashstats.choose(F.col("p_size"), F.lit(3)).alias("triples"))
 
 
 DIST = """h AS (SELECT ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT AS h FROM orders),
 b AS (SELECT s AS start, (((h >> s) | ((h & ((1::BIGINT << s) - 1)) << (32 - s))) & 255) AS bin, count(*)::DOUBLE AS b FROM h, range(32) t(s) GROUP BY 1, 2),
-w AS (SELECT start::INT AS start, 8 AS width, round(1 - ((sum(b) * sum(b) - 1) / (sum(b * b) - sum(b))) / 256, 6) AS score FROM b GROUP BY start)"""
+w AS (SELECT start::INT AS start, 8 AS width, round(1 - ((sum(b) * sum(b) - 1) / nullif(sum(b * b) - sum(b), 0)) / 256, 6) AS score FROM b GROUP BY start)"""
 
 
 def _scores(spark, sf_dir):
@@ -323,9 +416,71 @@ def hash_distribution(spark, sf_dir) -> DataFrame:
     return _scores(spark, sf_dir)
 
 
-@query(f"WITH {DIST} SELECT * FROM w ORDER BY score DESC, start LIMIT 1")
+# scores of all windows of the widths that leave five keys a bin
+WIDE = """m AS (SELECT count(*) AS n, least(20, floor(log2(count(*) / 5.0))::INT) AS most FROM {table}),
+h AS (SELECT ('0x' || substr(md5({key}::VARCHAR), 1, 8))::BIGINT AS h FROM {table}),
+c AS (SELECT s AS start, width, (((h >> s) | ((h & ((1::BIGINT << s) - 1)) << (32 - s))) & ((1::BIGINT << width) - 1)) AS bin, count(*)::DOUBLE AS b FROM h, range(32) t(s), (SELECT unnest(range(8, most + 1)) AS width FROM m) GROUP BY 1, 2, 3),
+w AS (SELECT start::INT AS start, width::INT AS width, 1 - ((sum(b) * sum(b) - 1) / nullif(sum(b * b) - sum(b), 0)) / pow(2.0, width) AS score FROM c GROUP BY start, width)"""
+ORDERS = WIDE.format(table="orders", key="o_orderkey")
+WORST = "SELECT start, width, round(score, 6) AS score, score >= 0.01 AS biased FROM w ORDER BY w.score DESC, start, width LIMIT 1"
+
+
+def _order_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(md5_bits(F.col("o_orderkey"), 32).alias("h"))
+
+
+@query(f"WITH {ORDERS} {WORST}")
 def hash_worst_window(spark, sf_dir) -> DataFrame:
-    return hashstats.worst_window(_scores(spark, sf_dir))
+    return hashstats.worst_over_widths(_order_hashes(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {ORDERS} SELECT start::INT AS start, width::INT AS width, bin, b FROM c WHERE start = 0")
+def hash_fold(spark, sf_dir) -> DataFrame:
+    d = _order_hashes(spark, sf_dir)
+    w = max(8, hashstats.widest(d.count()))
+    return hashstats.folded(hashstats.window_counts(d, w, [0]), w).select("start", "width", "bin", "b")
+
+
+@query(f"""WITH h AS (SELECT ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT AS h FROM orders),
+c AS (SELECT s, ((h >> s) | ((h & ((1::BIGINT << s) - 1)) << (32 - s))) & 65535 AS bin, count(*)::DOUBLE AS b FROM h, range(0, 32, 8) t(s) GROUP BY 1, 2),
+w AS (SELECT 1 - ((sum(b) * sum(b) - 1) / nullif(sum(b * b) - sum(b), 0)) / 65536 AS score FROM c GROUP BY s)
+SELECT round(max(score), 6) AS worst, round(avg(score), 6) AS mean FROM w""")
+def hash_distribution_fast(spark, sf_dir) -> DataFrame:
+    return hashstats.fast_scores(_order_hashes(spark, sf_dir)).select(F.round("worst", 6).alias("worst"), F.round("mean", 6).alias("mean"))
+
+
+TURN = "((h >> {s}) | ((h & ((1::BIGINT << {s}) - 1)) << (32 - {s})))"
+
+
+@query(f"""WITH h AS (SELECT ('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::BIGINT AS h FROM customer),
+c AS (SELECT a, b, ({TURN.format(s='a')} & 255) | (({TURN.format(s='b')} & 255) << 8) AS bin, count(*)::DOUBLE AS n FROM h, range(32) t(a), range(32) u(b) WHERE a <= b GROUP BY 1, 2, 3)
+SELECT a::INT AS a, b::INT AS b, round(1 - ((sum(n) * sum(n) - 1) / nullif(sum(n * n) - sum(n), 0)) / 65536, 6) AS score FROM c GROUP BY 1, 2""")
+def hash_bytepair(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "customer").select(md5_bits(F.col("c_custkey"), 32).alias("h"))
+    return hashstats.byte_pairs(d).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH h AS (SELECT i::INT AS in_bit, xor(('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::BIGINT, ('0x' || substr(md5(xor(c_custkey, 1::BIGINT << i)::VARCHAR), 1, 8))::BIGINT) AS h FROM customer, range(20) t(i)),
+c AS (SELECT in_bit, s, {TURN.format(s='s')} & 255 AS bin, count(*)::DOUBLE AS b FROM h, range(32) t(s) GROUP BY 1, 2, 3),
+w AS (SELECT in_bit, 1 - ((sum(b) * sum(b) - 1) / nullif(sum(b * b) - sum(b), 0)) / 256 AS score FROM c GROUP BY in_bit, s),
+n AS (SELECT in_bit, count(*) AS n, count(*) - count(DISTINCT h) AS collisions FROM h GROUP BY 1)
+SELECT n.in_bit, n, collisions, round(max(score), 6) AS worst FROM n JOIN w USING (in_bit) GROUP BY ALL""")
+def hash_diff_distribution(spark, sf_dir) -> DataFrame:
+    return hashstats.differential_scores(table(spark, sf_dir, "customer"), "c_custkey", lambda c: md5_bits(c, 32), 20).withColumn("worst", F.round("worst", 6))
+
+
+@query(f"""WITH {ORDERS}, k AS (SELECT count(*) AS n, count(*) - count(DISTINCT h) AS collisions, count(*) * (count(*) - 1)::DOUBLE / 8589934592 AS expected FROM h)
+SELECT n, collisions, round(expected, 6) AS expected, collisions <= 2 * expected AS ok, start, width, score, biased FROM k, ({WORST})""")
+def hash_key_list(spark, sf_dir) -> DataFrame:
+    return hashstats.key_list(table(spark, sf_dir, "orders"), lambda c: md5_bits(c, 32), "o_orderkey").withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT p_partkey, p_size, k::INT AS k, (list_reduce(list_prepend(1::BIGINT, range(1, k + 1)), lambda a, i: a * (p_size - k + i) // i))::BIGINT AS chosen,
+ list_sum([(list_reduce(list_prepend(1::BIGINT, range(1, j + 1)), lambda a, i: a * (p_size - j + i) // i))::BIGINT FOR j IN range(1, k + 1)])::BIGINT AS up_to
+ FROM (SELECT p_partkey, p_size, least(p_size, 1 + p_partkey % 6) AS k FROM part WHERE p_size >= 1)""")
+def hash_choose(spark, sf_dir) -> DataFrame:
+    k = F.least(F.col("p_size"), (1 + F.col("p_partkey") % 6).cast("int"))
+    return table(spark, sf_dir, "part").where("p_size >= 1").select("p_partkey", "p_size", k.alias("k"), hashstats.choose(F.col("p_size"), k).alias("chosen"), hashstats.choose_up_to(F.col("p_size"), k).alias("up_to"))
 
 
 @query("SELECT count(*) AS n, bit_xor(('0x' || substr(md5(text), 1, 8))::BIGINT) AS \"xor\", bit_or(('0x' || substr(md5(text), 1, 8))::BIGINT) AS \"any\" FROM documents")
@@ -423,6 +578,34 @@ def bench_outliers(spark, sf_dir) -> DataFrame:
     return d.agg(F.count("*").alias("kept"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("stdev"), F.max("value").alias("most"))
 
 
+ROUNDS = "".join(f", r{i} AS (SELECT value FROM r{i - 1}, (SELECT avg(value) AS a, stddev_pop(value) AS s FROM r{i - 1}) WHERE abs(value - a) <= 3 * s)" for i in range(1, 11))
+
+
+@query(f"WITH r0 AS (SELECT value FROM events WHERE value IS NOT NULL){ROUNDS} SELECT count(*) AS kept, round(min(value), 6) AS least, round(max(value), 6) AS most FROM r10")
+def bench_outliers_both(spark, sf_dir) -> DataFrame:
+    return report.trim_both(table(spark, sf_dir, "events"), "value").agg(F.count("*").alias("kept"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+
+
+@query("WITH RECURSIVE c AS (SELECT 1::BIGINT AS id, 1::BIGINT AS value UNION ALL SELECT id + 1, (value * 3 + 1) % 921544879 FROM c WHERE id < 5000) SELECT id, value FROM c")
+def keyset_recurrence(spark, sf_dir) -> DataFrame:
+    return keysets.recurrence(spark, 5000, 921544879)
+
+
+HEADERS = """h AS (SELECT event_id, list_extract(['feat', 'fix', 'docs', 'nope', 'merge'], (1 + event_id % 5)::INT) || '(' || list_extract(['*', 'sstable', 'other'], (1 + event_id % 3)::INT) || ')' || list_extract(['', '!'], (1 + event_id % 2)::INT) || ': '
+ || list_extract(['add a key', 'Add a key', 'add  a key', 'add a key.', 'add é', ''], (1 + event_id % 7 % 6)::INT) AS header FROM events)"""
+SCOPES = ("*", "sstable")
+
+
+@query(f"""WITH {HEADERS}, p AS (SELECT *, regexp_extract(header, '^([a-z]+)\\((.*?)\\)([!]?): (.*)$', ['a', 'b', 'c', 'd']) AS g FROM h),
+r AS (SELECT *, regexp_replace(g.d, '[^\\x{{00}}-\\x{{FF}}]', '', 'g') AS d FROM p)
+SELECT event_id, header, g.a IN ('feat', 'fix', 'docs', 'style', 'refactor', 'perf', 'test', 'build', 'ci', 'chore', 'merge', 'revert') AND g.b IN ('*', 'sstable') AND length(g.d) > 0
+ AND regexp_replace(regexp_replace(trim(lower(d[1]) || d[2:]), '[ \\t\\r\\n]+', ' ', 'g'), '[^a-zA-Z0-9]+$', '') = g.d AS ok FROM r""")
+def text_header_ok(spark, sf_dir) -> DataFrame:
+    e, pick = F.col("event_id"), lambda words, i: F.element_at(F.array(*map(F.lit, words)), (1 + i).cast("int"))
+    header = F.concat(pick(["feat", "fix", "docs", "nope", "merge"], e % 5), F.lit("("), pick(["*", "sstable", "other"], e % 3), F.lit(")"), pick(["", "!"], e % 2), F.lit(": "), pick(["add a key", "Add a key", "add  a key", "add a key.", "add é", ""], e % 7 % 6))
+    return table(spark, sf_dir, "events").select(e, header.alias("header"), report.header_ok(header, SCOPES).alias("ok"))
+
+
 @query("SELECT event_id, (event_id * 921544879) % (SELECT count(*) FROM events) AS target FROM events")
 def bench_access_pattern(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id")
@@ -430,7 +613,7 @@ def bench_access_pattern(spark, sf_dir) -> DataFrame:
 
 
 @query(r"""SELECT conv_id, turn, len(ls) - 1 AS n_body, regexp_full_match(ls[1], '([a-z]+)\((.*?)\)([!]?): (.*?)') AS header_shape,
- len(list_filter(ls[2:], lambda x: rtrim(x, ' ') <> x OR length(x) > 80 OR regexp_matches(x, '[^\x{00}-\x{FF}]|\t'))) = 0 AND NOT contains(array_to_string(ls[2:], chr(10)), chr(10) || chr(10) || chr(10)) AND NOT ends_with(array_to_string(ls[2:], chr(10)), chr(10)) AS body_ok,
+ len(list_filter(ls[2:], lambda x: regexp_matches(x, '[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}]$') OR length(x) > 80 OR regexp_matches(x, '[^\x{00}-\x{FF}]|\t'))) = 0 AND NOT contains(array_to_string(ls[2:], chr(10)), chr(10) || chr(10) || chr(10)) AND NOT ends_with(array_to_string(ls[2:], chr(10)), chr(10)) AS body_ok,
  regexp_full_match(role, '[0-9a-z]+(-[0-9a-z]+)*') AS branch_ok FROM (SELECT *, string_split(text, chr(10)) AS ls FROM conversations)""")
 def text_header_lint(spark, sf_dir) -> DataFrame:
     t = F.col("text")

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import hashing, keysets, mixers
 from lodestrata.operators import access, bloom, layout, merge, report, txn
+from lodestrata.plans import registry
 from lodestrata.plans.util import ordered
 from lodestrata.sources.views import txn_ops
 from lodestrata.streaming import upsert
+from tests.conftest import DATA
 
 
 def test_verification_codes():
@@ -147,7 +149,7 @@ def test_outliers(spark):
 def test_lint(spark):
     cases = {"feat(memtable): add a seek": True, "feat(memtable): Add a seek": False, "feat(nowhere): add": False, "hello": False, "fix(*)!: keep rows": True, "fix(*): keep rows.": False, "odd(*): x": False}
     d = spark.createDataFrame([(k,) for k in cases], "h string")
-    assert {r.h: r.ok for r in d.select("h", report.header_ok(F.col("h")).alias("ok")).collect()} == cases
+    assert {r.h: r.ok for r in d.select("h", report.header_ok(F.col("h"), ("*", "memtable")).alias("ok")).collect()} == cases
     bodies = {"h": True, "h\n\nfine": True, "h\nends \nx": False, "h\n" + "x" * 81: False, "h\na\tb": False, "h\n": True, "h\na\n": False, "h\na\n\n\nb": False, "h\n日": False}
     d = spark.createDataFrame([(k,) for k in bodies], "t string")
     assert {r.t: r.ok for r in d.select("t", report.body_ok(F.col("t")).alias("ok")).collect()} == bodies
@@ -185,3 +187,48 @@ def test_key_filter_goes_below_a_merge(spark, tmp_path):
 def test_merge_combines_before_the_shuffle(spark):
     p = plan(merge.upsert_latest(spark.createDataFrame([("a", 1, False, "x")], "k string, seq int, is_deleted boolean, v string")))
     assert p.count("Exchange hashpartitioning") == 1 and "partial_max_by" in p
+
+
+def test_body_rule_on_line_ends(spark):
+    bodies = {"h\nfine": True, "h\nblank ": False, "h\ncr\r": False, "h\nff\x0c": False, "h\nnbsp\u00a0": False, "h\nnel\x85": False, "h\nmore than one": True, "h": True}
+    d = spark.createDataFrame([(k,) for k in bodies], "h string")
+    assert {r.h: r.ok for r in d.select("h", report.body_ok(F.col("h")).alias("ok")).collect()} == bodies
+
+
+def test_prefixes_by_halving(spark):
+    rng = random.Random(3)
+    rows = [("", ""), (None, "a"), ("a", None), ("abc", "abc"), ("é", "è"), ("x" * 1000, "x" * 999 + "y")] + [tuple("".join(rng.choice("ab") for _ in range(rng.randrange(40))) for _ in "xy") for _ in range(200)]
+    d = spark.createDataFrame(rows, "a string, b string")
+
+    def want(a, b):
+        x, y = (a or "").encode(), (b or "").encode()
+        return next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+
+    assert [r.n for r in d.select(layout.common_prefix(F.col("a"), F.col("b")).alias("n")).collect()] == [want(*r) for r in rows]
+
+
+def test_short_varints_are_null(spark):
+    d = spark.createDataFrame([("",), ("7f",), ("80",), ("8000",), ("8020",), ("802001",), ("ffff" + "ff" * 6,), ("ffff" + "ff" * 7,)], "e string")
+    assert [r.v is None for r in d.select(layout.varint_checked(F.col("e")).alias("v")).collect()] == [True, False, True, False, True, False, True, False]
+
+
+def test_reads_of_a_flushed_run_are_pushed_down(spark):
+    plan = registry.QUERIES["run_point_get"](spark, DATA)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(k,sample-key-1000)" in plan
+
+
+def test_probes_are_not_shuffled(spark):
+    keys = spark.range(100).select(F.col("id").cast("string").alias("k"))
+    built = bloom.build(keys, bloom.md5_hash(F.col("k")), 16)
+    plan = bloom.probe(keys, bloom.md5_hash(F.col("k")), built, 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lodestrata.plans import util
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda _: None), master="spark://host:7077")
+    with pytest.raises(ValueError):
+        util.shared_dir(SimpleNamespace(sparkContext=sc))
