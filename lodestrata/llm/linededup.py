@@ -71,6 +71,12 @@ def kept_text(text: Column, runs: Column) -> Column:
     return F.when(runs.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.flatten(parts), "\n"))
 
 
+def _marked(docs: DataFrame, min_chars: int, salts: int) -> DataFrame:
+    """docs with _n and _r: lines dropped and their runs, null where none is."""
+    marks = keep_bitmaps(docs, min_chars, salts).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("n_dropped").alias("_n"), F.col("runs").alias("_r"))
+    return docs.join(marks, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left").drop("_d", "_t")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
     """docs with text stripped of repeated lines, and n_lines, n_dropped.
 
@@ -79,9 +85,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS)
     lines; rows with equal doc_id count as one document; rows with a null
     doc_id keep everything.  Other columns pass through, but for columns of
     docs named n_lines or n_dropped, which are replaced."""
-    marks = keep_bitmaps(docs, min_chars, salts).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("n_dropped").alias("_n"), F.col("runs").alias("_r"))
-    full = docs.join(marks, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
-    return full.withColumns({"n_lines": F.size(_lines(F.col("text"))).cast("long"), "n_dropped": F.coalesce("_n", F.lit(0)).cast("long"), "text": kept_text(F.col("text"), F.col("_r"))}).drop("_d", "_t", "_n", "_r")
+    full = _marked(docs, min_chars, salts)
+    return full.withColumns({"n_lines": F.size(_lines(F.col("text"))).cast("long"), "n_dropped": F.coalesce("_n", F.lit(0)).cast("long"), "text": kept_text(F.col("text"), F.col("_r"))}).drop("_n", "_r")
 
 
 SQL = """
@@ -101,6 +106,8 @@ def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SA
     """docs with text stripped of repeated lines and n_chars, where docs has it, counted anew.
 
     Documents that lose all lines are left out; documents that came without
-    lines (null or empty text) stay as they are."""
-    out = dedup_lines(docs, min_chars, salts).where("n_dropped < n_lines").select(*docs.columns)
+    lines (null or empty text) stay as they are.  Other columns pass through,
+    whatever their names."""
+    full = _marked(docs, min_chars, salts).where(F.coalesce("_n", F.lit(0)) < F.size(_lines(F.col("text"))))
+    out = full.withColumn("text", kept_text(F.col("text"), F.col("_r"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

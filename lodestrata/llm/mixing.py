@@ -150,10 +150,12 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
 
     Its text holds the words taken in that pass, each with the white space
     after it (the whole text, if all are); n_chars, where docs has it, is
-    counted anew.  Columns of docs must not be named kh or dup."""
+    counted anew.  Other columns pass through, whatever their names."""
     _, taken = mix(docs, **options)
     runs = taken.groupBy(*KEY, "pass").agg(F.sum("words").alias("n"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"))
+    # docs' columns are kept in a struct, so that none clashes with those of the join
+    own = _keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"))
     words = F.regexp_extract_all("text", F.lit(f"{WORD}[ \\t-\\r]*"), F.lit(0))
     text = F.when(F.col("n") == n_words(F.col("text")), F.col("text")).otherwise(F.btrim(F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int")))), ""), F.lit(SPACE)))
-    out = _keyed(docs).join(_other(runs), _same()).select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    out = own.join(_other(runs), _same()).select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -39,6 +39,7 @@ LIMIT = 36
 FIRST = 8
 #: Texts and bytes of a cluster's block, about.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 4_000_000
+SALTS = 32
 _MIX = np.random.default_rng(29).integers(0, 1 << 64, 4, dtype=np.uint64)
 
 
@@ -246,7 +247,9 @@ def _verified(docs: DataFrame, texts: DataFrame, clusters: DataFrame, similar: f
     words = _own(docs.join(reps, "doc_id", "left_semi"), False).join(known.select("th", "comp"), "th").groupBy("th", "comp").agg(F.first("words").alias("words"))
     words = cut(words)
     parts = words.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum(F.octet_length("words")) / BLOCK_BYTES)).alias("parts"))
-    dealt = words.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts")))
+    # a large cluster meets its number of parts in SALTS places
+    salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = words.withColumn("salt", F.pmod("th", F.lit(SALTS)).cast("int")).join(salted, ["comp", "salt"]).withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts")))
     # each text goes once to each part of its cluster, to the first or the second side of that pair
     copy = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     pair = copy.select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"), (F.col("part") == F.col("other")).alias("alone"), "th", "words")

@@ -287,6 +287,13 @@ def test_mixing_odd(odd, empty):
     assert mixing.mixed_texts(odd).columns == odd.columns
 
 
+def test_clashing_names_pass_through(spark):
+    rows = [(i, f"some words of text number {i}\na shared line of text", "ab"[i % 2], 99, "x", 7, 5, 3) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int, runs string, n int, pass int, n_dropped int")
+    for out in (mixing.mixed_texts(d), linededup.dedup_documents(d)):
+        assert out.columns == d.columns and {(r.n_lines, r.runs, r.n, r["pass"], r.n_dropped) for r in out.collect()} == {(99, "x", 7, 5, 3)}
+
+
 def test_bpe_like_the_library(spark, odd, empty):
     path = P.path(bpe.VOCABULARY)
     c = bpe.Codec(path, P.PATTERN, cache=500)
