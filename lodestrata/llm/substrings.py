@@ -21,6 +21,10 @@ ENDS = 12
 MOST = 96
 #: Passages of up to so many words are left alone.  Runs whose whole chunks hold no more are compared byte by byte.
 SHORT = 50
+#: Asks about one document that are compared with one copy of its text.
+PART = 64
+#: Documents that are asked for are broadcast up to so many ids (some 100 MB), and joined by a shuffle beyond.
+FEW = 1 << 22
 _W = 8  # bits of a chunk's size and numbers of words; so a chunk has 255 bytes at most
 _GEAR = np.random.default_rng(11).integers(0, 256, 256, dtype=np.uint8)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -32,8 +36,13 @@ def chunk_ends(data: bytes, ends: int = ENDS, most: int = MOST) -> np.ndarray:
     A chunk that would have over `most` bytes ends at the last of the lowest
     hashes in its first `most`: a text that repeats one word, where the bound
     may never be met, is cut in step with the word wherever it begins."""
+    return _ends(data, ends, most)[0]
+
+
+def _ends(data: bytes, ends: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks' ends, and which of them cut a chunk that grew too long."""
     if not data:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     g = _GEAR[np.frombuffer(data, np.uint8)]
     h = g.copy()
     for j in range(1, min(8, len(g))):
@@ -46,15 +55,33 @@ def chunk_ends(data: bytes, ends: int = ENDS, most: int = MOST) -> np.ndarray:
         while stop - start > most:
             start += most - int(h[start : start + most][::-1].argmin())
             more.append(start)
-    return np.sort(np.concatenate([at, np.array(more, np.int64)])) if more else at
+    every = np.concatenate([at, np.array(more, np.int64)])
+    order = np.argsort(every)
+    return every[order], order >= len(at)
+
+
+def _words_near(begins: np.ndarray, s: np.ndarray, e: np.ndarray, forced: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Word starts in each chunk, and at most as many as a shared passage may hold before and after it.
+
+    A boundary depends on the eight bytes before it.  So a passage that begins
+    before a run of whole chunks begins in the chunk before, or in the seven
+    bytes before that; one that ends behind the run ends in the chunk after.
+    Where a chunk was cut for its length, one chunk more is counted."""
+    w = np.searchsorted(begins, e) - np.searchsorted(begins, s)
+    near = np.searchsorted(begins, s) - np.searchsorted(begins, s - 7)
+    begins_forced = np.concatenate([[False], forced[:-1]])
+    last = np.concatenate([[0], (w + near)[:-1]])  # of the chunk before
+    before = w + np.where(begins_forced, last, near)
+    after = w + np.where(forced, np.concatenate([w[1:], [0]]), 0)
+    return w, np.concatenate([[0], before[:-1]]), np.concatenate([after[1:], [0]])
 
 
 def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
     """(digest, doc_id[, copy][, place]) of every chunk; copy is there if docs has it.
 
-    place packs the chunk's start, its size and the word starts in it, in the
-    two before and in the two after, from the highest bits down; all but the
-    start have _W bits, which hold the words of two chunks of `most` bytes."""
+    place packs the chunk's start, its size and the word starts in it, before
+    and after it (_words_near), from the highest bits down; all but the start
+    have _W bits, which hold the words of two chunks of `most` bytes."""
     if not 0 < most < 1 << _W:
         raise ValueError(f"chunks of {most} bytes don't fit in {_W} bits")
 
@@ -66,7 +93,7 @@ def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if not data or own[0] is None:
                     continue
-                e = chunk_ends(data, ends, most)
+                e, forced = _ends(data, ends, most)
                 s = np.concatenate([[0], e[:-1]])
                 cols[0].append(np.array([digest(data[x:y]) for x, y in zip(s.tolist(), e.tolist())], np.uint64).view(np.int64))
                 for c, value in zip(cols[1:], own):
@@ -74,9 +101,8 @@ def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
                 if places:
                     blank = _SPACE[np.frombuffer(data, np.uint8)]
                     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-                    w = np.searchsorted(begins, e) - np.searchsorted(begins, s)
-                    pad = np.concatenate([[0, 0], w, [0, 0]])
-                    cols[-1].append(s << 4 * _W | (e - s) << 3 * _W | w << 2 * _W | (pad[:-4] + pad[1:-3]) << _W | pad[3:-1] + pad[4:])
+                    w, before, after = _words_near(begins, s, e, forced)
+                    cols[-1].append(s << 4 * _W | (e - s) << 3 * _W | w << 2 * _W | before << _W | after)
                 if sum(map(len, cols[0][-50:])) > 200_000 or len(cols[0]) >= 2000:
                     yield pa.RecordBatch.from_pydict({n: np.concatenate(c).astype(np.int64) for n, c in zip(names, cols)})
                     cols = [[] for _ in names]
@@ -88,20 +114,56 @@ def _chunks(docs: DataFrame, ends: int, most: int, places: bool) -> DataFrame:
     return docs.select(*own, "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _context(batches):
-    """The text around each chunk as far as SHORT + 1 words on either side, and whether text goes on beyond."""
-    for b in batches:
-        rows = {n: [] for n in ("doc_id", "copy", "run", "other", "left", "chunk", "right")}
-        for doc, copy, run, other, place, short, text in zip(*(c.to_pylist() for c in b.columns)):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            start, size = place >> 4 * _W, place >> 3 * _W & (1 << _W) - 1
-            left, right = data[:start], data[start + size :]
-            spare = left.rsplit(None, short + 1), right.split(None, short + 1)
-            left = left[len(spare[0][0]) :] if len(spare[0]) > short + 1 else b"\n" + left
-            right = right[: len(right) - len(spare[1][-1])] if len(spare[1]) > short + 1 else right + b"\n"
-            for n, v in zip(rows, (doc, copy, run, other, left, data[start : start + size], right)):
-                rows[n].append(v)
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "copy", "run", "other")] + [(n, pa.binary()) for n in ("left", "chunk", "right")]))
+def _left(data: bytes, start: int, words: int) -> bytes:
+    """So many words before start; a line end stands for the begin of data."""
+    size = 16 * words
+    while True:
+        size *= 4
+        part = data[max(0, start - size) : start]
+        spare = part.rsplit(None, words)
+        if len(spare) > words:
+            return part[len(spare[0]) :]
+        if size >= start:
+            return b"\n" + part
+
+
+def _right(data: bytes, start: int, words: int) -> bytes:
+    """So many words from start on; a line end stands for the end of data."""
+    size = 16 * words
+    while True:
+        size *= 4
+        part = data[start : start + size]
+        spare = part.split(None, words)
+        if len(spare) > words:
+            return part[: len(part) - len(spare[-1])]
+        if start + size >= len(data):
+            return part + b"\n"
+
+
+_ASK = "doc_id long, copy long, run long, other long, part long"
+
+
+def _context(short: int):
+    """For each chunk asked about, its bytes and the text on either side as far as short + 1 words."""
+    names = [*(x.split()[0] for x in _ASK.split(", ")), "left", "chunk", "right"]
+    schema = pa.schema([(n, pa.int64()) for n in names[:5]] + [(n, pa.binary()) for n in names[5:]])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, copy, asks, text in zip(*b.columns):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                for ask in asks.as_py():
+                    start, size = ask["place"] >> 4 * _W, ask["place"] >> 3 * _W & (1 << _W) - 1
+                    stop = start + size
+                    rows.append((doc.as_py(), copy.as_py(), ask["run"], ask["other"], ask["part"], _left(data, start, short + 1), data[start:stop], _right(data, stop, short + 1)))
+                    if len(rows) >= 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
 
 
 def _same(a: bytes, b: bytes) -> int:
@@ -111,10 +173,12 @@ def _same(a: bytes, b: bytes) -> int:
     return int(x[0]) if len(x) else n
 
 
-def shared_words(left: bytes, chunk: bytes, right: bytes, other: bytes) -> int:
-    """Whole words around and in chunk that other holds in a row, at the best of the chunk's places in it."""
+def shared_words(left: bytes, chunk: bytes, right: bytes, other: bytes, enough: float = float("inf")) -> int:
+    """Whole words around and in chunk that other holds in a row, at the best of the chunk's places in it.
+
+    The search ends at the first place with more than `enough`."""
     best, at, other = 0, 0, b"\n" + other + b"\n"
-    while chunk and (at := other.find(chunk, at)) >= 0:
+    while chunk and best <= enough and (at := other.find(chunk, at)) >= 0:
         l = _same(left[::-1], other[max(0, at - len(left)) : at][::-1])
         r = _same(right, other[at + len(chunk) : at + len(chunk) + len(right)])
         part = left[len(left) - l :] + chunk + right[:r]
@@ -127,19 +191,52 @@ def shared_words(left: bytes, chunk: bytes, right: bytes, other: bytes) -> int:
 
 
 def _held(short: int):
+    """The runs of which a document shares more than `short` words in a row."""
+
     def run(batches):
         for b in batches:
-            keep = [shared_words(left, chunk, right, (text or "").encode("utf-8", "surrogatepass")) > short for left, chunk, right, text in zip(*(b.column(i).to_pylist() for i in range(4, 8)))]
-            yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+            rows = []
+            for other, asks, text in zip(*b.columns):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                for ask in asks.as_py():
+                    if shared_words(ask["left"], ask["chunk"], ask["right"], data, short) > short:
+                        rows.append((ask["doc_id"], ask["copy"], ask["run"], other.as_py()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "copy", "run", "other"])
 
     return run
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """ids to be broadcast where they are few enough, so that texts nobody asks for aren't shuffled."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
+def _confirmed(short_runs: DataFrame, docs: DataFrame, short: int) -> DataFrame:
+    """(doc_id, copy, run, found) for the runs that another document shares more than `short` words with.
+
+    A document's asks travel as one list to its text, which is sent once; the
+    asks about one document are dealt to parts of about PART, each with the
+    text, so that a document that many ask about is no one task's."""
+    asks = short_runs.select("doc_id", "copy", "run", F.explode("held").alias("h")).groupBy("doc_id", "copy", "run", F.col("h.other").alias("other")).agg(F.min("h.place").alias("place"))
+    parts = asks.groupBy("other").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = asks.join(parts, "other").withColumn("part", F.pmod(F.xxhash64("doc_id", "copy", "run"), "parts"))
+    own = dealt.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("run", "other", "part", "place")).alias("asks"))
+    text = docs.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text").distinct() if "copy" in docs.columns else docs.select(F.col("doc_id").alias("d"), F.lit(0).cast("long").alias("c"), "text")
+    mine = text.join(_small(short_runs.select(F.col("doc_id").alias("d")).distinct()), "d", "left_semi")
+    around = own.join(mine, (F.col("doc_id") == F.col("d")) & (F.col("copy") == F.col("c"))).select("doc_id", "copy", "asks", "text")
+    around = around.mapInArrow(_context(short), f"{_ASK}, left binary, chunk binary, right binary")
+    around = around.groupBy("other", "part").agg(F.collect_list(F.struct("doc_id", "copy", "run", "left", "chunk", "right")).alias("asks"))
+    theirs = text.join(_small(parts.withColumnRenamed("other", "d")), "d").select("d", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+    meet = around.join(theirs, (F.col("other") == F.col("d")) & (F.col("part") == F.col("p"))).select("other", "asks", "text")
+    return meet.mapInArrow(_held(short), "doc_id long, copy long, run long, other long").groupBy("doc_id", "copy", "run").agg(F.min("other").alias("found"))
+
+
 def repeated_passages(docs: DataFrame, short: int = SHORT, ends: int = ENDS, most: int = MOST) -> DataFrame:
     """(doc_id, start, size, n_words, other_doc_id, first): one row per passage that another document holds too.
 
     A passage is a run of whole repeated chunks with more than `short` words.  A
-    run of fewer, which with the two chunks on either side would have more, is
+    run of fewer, which with the words next to it (_words_near) may have more, is
     one if a document that holds one of its chunks shares more than `short`
     words in a row there, compared byte by byte.  start, size and n_words are
     of the whole chunks, start and size in UTF-8 bytes; other_doc_id holds the
@@ -170,13 +267,9 @@ def repeated_passages(docs: DataFrame, short: int = SHORT, ends: int = ENDS, mos
     out = out.where(F.col("n_words") + before + after > short)
     out = cut(out.withColumn("held", F.when(F.col("n_words") <= short, F.col("held"))).drop("begin", "place"))
     if len(key) == 1:
-        out, docs = out.withColumn("copy", F.lit(0).cast("long")), docs.withColumn("copy", F.lit(0).cast("long"))
-    text = docs.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text").distinct() if len(key) > 1 else docs.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "text")
-    ask = out.select("doc_id", "copy", "run", F.explode("held").alias("h")).groupBy("doc_id", "copy", "run", F.col("h.other").alias("other")).agg(F.min("h.place").alias("place"))
-    ask = ask.join(text, (F.col("doc_id") == F.col("d")) & (F.col("copy") == F.col("c"))).select("doc_id", "copy", "run", "other", "place", F.lit(short).alias("short"), "text")
-    ask = ask.mapInArrow(_context, "doc_id long, copy long, run long, other long, left binary, chunk binary, right binary")
-    ask = ask.join(text.drop("c"), F.col("other") == F.col("d")).select("doc_id", "copy", "run", "other", "left", "chunk", "right", "text")
-    found = ask.mapInArrow(_held(short), "doc_id long, copy long, run long, other long").groupBy("doc_id", "copy", "run").agg(F.min("other").alias("found"))
-    few = out.where(F.col("n_words") <= short).join(found, ["doc_id", "copy", "run"]).withColumn("other_doc_id", F.col("found"))
+        out = out.withColumn("copy", F.lit(0).cast("long"))
+    short_runs = out.where(F.col("n_words") <= short)
+    found = _confirmed(short_runs, docs, short)
+    few = short_runs.join(found, ["doc_id", "copy", "run"]).withColumn("other_doc_id", F.col("found"))
     columns = ["doc_id", "start", "size", "n_words", "other_doc_id"]
     return out.where(F.col("n_words") > short).select(columns).union(few.select(columns)).withColumn("first", F.col("other_doc_id") > F.col("doc_id"))
