@@ -2,7 +2,8 @@
 
 Hashes of line keys are range-partitioned by (hash, salt) and sorted by
 document and position within; one streaming pass per (hash, salt) finds the
-first document.  The salt spreads a line that much of the corpus holds.  What
+first document, and is told where another salt's is smaller.  The salt spreads
+a line that much of the corpus holds.  What
 is returned per document is a run-length keep bitmap, not text.
 """
 from __future__ import annotations
@@ -42,13 +43,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALT
     line = line.select(F.unhex(F.md5("key")).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "th", "pos")
     # sampling the ranges reads the lines once more: texts are split but once
     line = cut(line).repartitionByRange("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "pos")
-    own = Window.partitionBy("h", "salt").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    line = line.withColumn("first_here", F.first("doc_id").over(own))
-    # at most `salts` rows of a hash are left
-    firsts = line.groupBy("h", "salt").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    own = Window.partitionBy("h", "salt").orderBy("doc_id", "pos")
+    line = line.withColumn("first_here", F.first("doc_id").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    # at most `salts` rows of a hash are left; only where another salt's first document is smaller, the pass needs to be told
     every = Window.partitionBy("h")
-    firsts = firsts.select("h", "salt", F.min("lo").over(every).alias("lo"), F.max("hi").over(every).alias("hi")).where("lo < hi")
-    return line.join(firsts, ["h", "salt"]).where("doc_id > lo").select("doc_id", "th", "pos")
+    firsts = line.withColumn("nth", F.row_number().over(own)).where("nth = 1")
+    lower = firsts.select("h", "salt", "first_here", F.min("first_here").over(every).alias("lo")).where("lo < first_here").select("h", "salt", "lo")
+    return line.join(lower, ["h", "salt"], "left").where(F.col("doc_id") > F.coalesce("lo", "first_here")).select("doc_id", "th", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
