@@ -95,6 +95,18 @@ def vectorised(name: str):
     return lambda c: run(c.cast("binary"))
 
 
+def wide(name: str):
+    """The named hash of several words as a function from a binary column to an array of longs."""
+    fn = mixers.WIDE[name]
+
+    @F.pandas_udf("array<bigint>")
+    def run(s: pd.Series) -> pd.Series:
+        words = fn([bytes(x) if x is not None else b"" for x in s]).astype(U).view(np.int64)
+        return pd.Series([w if there else None for w, there in zip(words, s.notna())], dtype=object)
+
+    return lambda c: run(c.cast("binary"))
+
+
 def le32(hexdigest: Column) -> Column:
     """The first four bytes of a hex digest as a little-endian unsigned integer."""
     return F.conv(F.concat(*[F.substring(hexdigest, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")

@@ -250,6 +250,34 @@ def hash_mixers(spark, sf_dir) -> DataFrame:
     return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in (*hashing.mixers.ALL, "crc32", "xxh64")])
 
 
+# Murmur 3 in two 64-bit words, of the same keys: they are all tail
+def _times(x: str, y: int) -> str:
+    return f"((({x})::UHUGEINT * {y}) % {W})::UBIGINT"
+
+
+def _turned(x: str, n: int) -> str:
+    return f"({_times(x, 1 << n)} | (({x}) >> {64 - n}))"
+
+
+def _plus(x: str, y: str) -> str:
+    return f"((({x})::UHUGEINT + ({y})) % {W})::UBIGINT"
+
+
+MURMUR = f"""a0 AS (SELECT event_id, {_times('w1', 0x87C37B91114253D5)} AS a, {_times('w2', 0x4CF5AD432745937F)} AS b FROM w),
+a1 AS (SELECT event_id, {_turned('a', 31)} AS a, {_turned('b', 33)} AS b FROM a0),
+a2 AS (SELECT event_id, xor({_times('a', 0x4CF5AD432745937F)}, 12::UBIGINT) AS a, xor({_times('b', 0x87C37B91114253D5)}, 12::UBIGINT) AS b FROM a1),
+a3 AS (SELECT event_id, {_plus('a', 'b')} AS a, b FROM a2), a4 AS (SELECT event_id, a, {_plus('a', 'b')} AS b FROM a3),
+a5 AS (SELECT event_id, {_times('xor(a, a >> 33)', 0xFF51AFD7ED558CCD)} AS a, {_times('xor(b, b >> 33)', 0xFF51AFD7ED558CCD)} AS b FROM a4),
+a6 AS (SELECT event_id, {_times('xor(a, a >> 33)', 0xC4CEB9FE1A85EC53)} AS a, {_times('xor(b, b >> 33)', 0xC4CEB9FE1A85EC53)} AS b FROM a5),
+a7 AS (SELECT event_id, xor(a, a >> 33) AS a, xor(b, b >> 33) AS b FROM a6), a8 AS (SELECT event_id, {_plus('a', 'b')} AS a, b FROM a7)"""
+
+
+@query(f"WITH {HASHED}, {MURMUR} SELECT event_id, lower(lpad(to_hex(a), 16, '0') || lpad(to_hex({_plus('a', 'b')}), 16, '0')) AS h FROM a8")
+def hash_murmur128(spark, sf_dir) -> DataFrame:
+    d = _event_keys(spark, sf_dir).select("event_id", hashing.wide("murmur3f")(F.col("k")).alias("w"))
+    return d.select("event_id", F.lower(F.concat(*[F.lpad(F.hex(F.col("w")[i]), 16, "0") for i in range(2)])).alias("h"))
+
+
 @query(f"WITH {HASHED} SELECT event_id, (h & 16777215)::BIGINT AS p0, ((h >> 24) & 16777215)::BIGINT AS p1 FROM hashed")
 def bloom_positions(spark, sf_dir) -> DataFrame:
     d = _event_keys(spark, sf_dir).withColumn("h", hashing.REGISTRY["wordmix64"](F.col("k")))

@@ -24,11 +24,23 @@ def test_wordmix_vectors(key, value):
     assert int(hashing.wordmix([key])[0]) == value
 
 
-@pytest.mark.parametrize("name,width,code", [("murmur2", 4, 0x27864C1E), ("murmur2a", 4, 0x7FBD4396), ("murmur2_64", 8, 0x1F0D3804), ("murmur2_64_by_32", 8, 0xDD537C05), ("murmur3a", 4, 0xB0F57EE3), ("murmur3f", 16, 0x6384BA69), ("fasthash64", 8, 0x03280FE7), ("fasthash32", 4, 0xCE25265D), ("superfast", 4, 0x980ACD1D), ("crap8", 4, 0x743E97A1), ("lookup3", 4, 0x3D83917A)])
+@pytest.mark.parametrize("name,width,code", [("murmur2", 4, 0x27864C1E), ("murmur2a", 4, 0x7FBD4396), ("murmur2_64", 8, 0x1F0D3804), ("murmur2_64_by_32", 8, 0xDD537C05), ("murmur3a", 4, 0xB0F57EE3), ("murmur3f", 16, 0x6384BA69), ("murmur3c", 16, 0xB3ECE62A), ("fasthash64", 8, 0x03280FE7), ("fasthash32", 4, 0xCE25265D), ("superfast", 4, 0x980ACD1D), ("crap8", 4, 0x743E97A1), ("lookup3", 4, 0x3D83917A)])
 def test_mixer_codes(name, width, code):
     assert hashing.verification(getattr(mixers, name), width) == code
 
 
+@pytest.mark.parametrize("size,value", [(0, 0x726FDB47DD0E0E31), (15, 0xA129CA6149BE45E5)])
+def test_siphash_vectors(size, value):
+    half = lambda start: int.from_bytes(bytes(range(start, start + 8)), "little")
+    assert int(mixers.siphash([bytes(range(size))], half(0), second=half(8))[0]) == value
+
+
+def test_wide_hash_columns(spark):
+    d = spark.createDataFrame([(b"abc",), (None,), (b"",)], "k binary")
+    got = [r[0] for r in d.select(hashing.wide("murmur3c")(F.col("k"))).collect()]
+    assert got[0] == [int(x) for x in mixers.murmur3c([b"abc"])[0]] and got[1] is None and got[2] == [0, 0, 0, 0]
+
+
 def test_hash_columns_take_null_and_mixed_lengths(spark):
     d = spark.createDataFrame([("a",), (None,), ("x" * 70,), ("",)], "s string")
     got = [r[0] for r in d.select(hashing.REGISTRY["wordmix64"](F.col("s"))).collect()]
