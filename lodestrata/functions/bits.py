@@ -1,4 +1,7 @@
-"""Bits of longs, least significant first; rotations and windows of 32-bit values."""
+"""Bits of longs and of byte strings, least significant first; rotations and windows.
+
+The functions on byte strings take bit numbers as columns or numbers, and give
+null for null."""
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
@@ -48,3 +51,89 @@ def rotate_right32(c: Column, n) -> Column:
 def window32(c: Column, start, width: int) -> Column:
     """`width` bits from bit `start`, wrapping round."""
     return rotate_right32(c, start).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _number(n) -> Column:
+    return n.cast("int") if isinstance(n, Column) else F.lit(n)
+
+
+def bytes_of(blob: Column) -> Column:
+    """A byte string as an array of numbers."""
+    byte = lambda i: F.conv(F.hex(F.substring(blob, i, F.lit(1))), 16, 10).cast("int")
+    return F.when(F.octet_length(blob) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.octet_length(blob)), byte))
+
+
+def blob_of(numbers: Column) -> Column:
+    """The byte string of an array of numbers."""
+    return F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+
+
+def _ring(blob: Column) -> Column:
+    """The bytes to wrap round at; one for an empty string, which has no byte to find."""
+    return F.greatest(F.octet_length(blob), F.lit(1))
+
+
+def _moved(blob: Column, by: Column, wrap: bool) -> Column:
+    """The bits of a byte string, each from `by` places above it; past the ends are zeros, or the other end if wrap."""
+    b = bytes_of(blob)
+    size = F.octet_length(blob)
+    whole, part = F.floor(by / 8).cast("int"), F.pmod(by, F.lit(8))
+
+    def at(i):
+        return F.get(b, F.pmod(i, size)) if wrap else F.when((i >= 0) & (i < size), F.get(b, i)).otherwise(F.lit(0))
+
+    def byte(_, i):
+        return shr(at(i + whole), part).bitwiseOR(shl(at(i + whole + 1), 8 - part)).bitwiseAND(F.lit(255))
+
+    return blob_of(F.transform(b, byte))
+
+
+def shift_left(blob: Column, n) -> Column:
+    return _moved(blob, -_number(n), False)
+
+
+def shift_right(blob: Column, n) -> Column:
+    return _moved(blob, _number(n), False)
+
+
+def rotate_left(blob: Column, n) -> Column:
+    return _moved(blob, -_number(n), True)
+
+
+def rotate_right(blob: Column, n) -> Column:
+    return _moved(blob, _number(n), True)
+
+
+def window(blob: Column, start, width: int) -> Column:
+    """`width` bits, to 32, from bit `start`, wrapping round, as a long; null for an empty string."""
+    b = bytes_of(blob)
+    first, part = F.floor(_number(start) / 8).cast("int"), F.pmod(_number(start), F.lit(8))
+    five = [shl(F.get(b, F.pmod(first + i, _ring(blob))).cast("long"), 8 * i) for i in range(5)]
+    return shr(sum(five[1:], five[0]), part).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def bit_at(blob: Column, i, wrap: bool = False) -> Column:
+    """Bit i of a byte string; past its end 0, or the bit met by wrapping round."""
+    i = _number(i)
+    byte = F.floor(i / 8).cast("int")
+    got = F.get(bytes_of(blob), F.pmod(byte, _ring(blob)) if wrap else byte)
+    return F.when(blob.isNotNull(), F.coalesce(shr(got, F.pmod(i, F.lit(8))).bitwiseAND(F.lit(1)), F.lit(0)))
+
+
+def _with_bit(blob: Column, i, change) -> Column:
+    i = _number(i)
+    bit = shl(F.lit(1), F.pmod(i, F.lit(8)))
+    return blob_of(F.transform(bytes_of(blob), lambda x, at: F.when(at == F.floor(i / 8), change(x, bit)).otherwise(x)))
+
+
+def set_bit_at(blob: Column, i) -> Column:
+    """The byte string with bit i set; past its end unchanged, as in the next two."""
+    return _with_bit(blob, i, lambda x, bit: x.bitwiseOR(bit))
+
+
+def clear_bit_at(blob: Column, i) -> Column:
+    return _with_bit(blob, i, lambda x, bit: x.bitwiseAND(F.bitwise_not(bit)))
+
+
+def flip_bit_at(blob: Column, i) -> Column:
+    return _with_bit(blob, i, lambda x, bit: x.bitwiseXOR(bit))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import LongType
 
-from . import mixers
+from . import longmixers, mixers
 
 U = np.uint64
 # Fixed values of the word-mix hash.
@@ -81,12 +81,14 @@ def _oaat(h, b):
 fnv = bytewise(lambda h, b: ((h ^ b) * U(16777619)) & LOW32, 2166136261)
 bernstein = bytewise(lambda h, b: (h * U(33) + b) & LOW32)
 oaat = bytewise(_oaat)
-VECTOR = {"wordmix64": wordmix, "wordmix32": lambda keys: wordmix(keys, True), "fnv": fnv, "bernstein": bernstein, "oaat": oaat, **mixers.ALL}
+VECTOR = {"wordmix64": wordmix, "wordmix32": lambda keys: wordmix(keys, True), "fnv": fnv, "bernstein": bernstein, "oaat": oaat, **mixers.ALL, **longmixers.ALL}
+WIDE = mixers.WIDE | longmixers.WIDE
 
 
-def vectorised(name: str):
-    """The named hash as a function of a binary column."""
-    fn = VECTOR[name]
+def vectorised(name: str, seed: int | None = None):
+    """The named hash as a function of a binary column; a seed goes to those that take one."""
+    plain = VECTOR[name]
+    fn = plain if seed is None else lambda keys: plain(keys, seed)
 
     @F.pandas_udf(LongType())
     def run(s: pd.Series) -> pd.Series:
@@ -97,7 +99,7 @@ def vectorised(name: str):
 
 def wide(name: str):
     """The named hash of several words as a function from a binary column to an array of longs."""
-    fn = mixers.WIDE[name]
+    fn = WIDE[name]
 
     @F.pandas_udf("array<bigint>")
     def run(s: pd.Series) -> pd.Series:
@@ -135,3 +137,17 @@ def wrapping_multiply(a: Column, b: int) -> Column:
     carry = F.shiftrightunsigned(s, 32) + F.shiftrightunsigned(al * F.lit(bl >> 16), 16)
     hi = (carry + low(ah, bl).bitwiseAND(m32) + low(al, bh).bitwiseAND(m32)).bitwiseAND(m32)
     return F.shiftleft(hi, 32).bitwiseOR(s.bitwiseAND(m32))
+
+
+def multiply32(a: Column, b: int) -> Column:
+    """a * b modulo 2^32 of numbers below 2^32, in the JVM and without overflow errors."""
+    upper = F.shiftleft((a * F.lit(b >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (a * F.lit(b & 0xFFFF) + upper).bitwiseAND(F.lit(int(LOW32)))
+
+
+def finalised32(c: Column) -> Column:
+    """The closing mix of Murmur 3 on the low 32 bits of a long column, in the JVM."""
+    h = c.bitwiseAND(F.lit(int(LOW32)))
+    for down, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = multiply32(h.bitwiseXOR(F.shiftrightunsigned(h, down)), by)
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 16))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bits import shl, shr
 
@@ -92,3 +92,29 @@ def recurrence(spark: SparkSession, n: int, modulus: int) -> DataFrame:
     picked = F.filter(F.array(*[F.lit(x).cast("long") for x in squares]), lambda _, i: shr(F.col("id"), i).bitwiseAND(F.lit(1)) == 1)
     power = F.aggregate(picked, F.lit(1).cast("long"), lambda a, x: F.pmod(a * x, m))
     return spark.range(1, n + 1).select("id", F.pmod(F.shiftright(power - 1, 1), F.lit(modulus)).alias("value"))
+
+
+# Fixed values of the xorshift generator: what the seed's halves are mixed with, and its idle steps.
+XORSHIFT, XORSHIFT_WIDE, IDLE = 0x498B3BC5, 0x5A05089A, 10
+
+
+def random_words(seed: Column, n: int, wide: bool = False) -> Column:
+    """The first n 32-bit numbers of the xorshift generator of each seed, an array; wide: of 64-bit seeds.
+
+    The numbers of one seed follow from each other: take many seeds, each a
+    row, for many numbers."""
+    m = F.lit(0xFFFFFFFF)
+    start = F.array(seed.bitwiseAND(m).bitwiseXOR(F.lit(XORSHIFT)), F.shiftrightunsigned(seed, 32).bitwiseXOR(F.lit(XORSHIFT_WIDE)) if wide else F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"))
+
+    def longer(words, i):
+        first, last = F.get(words, i), F.get(words, i + 3)
+        t = first.bitwiseXOR(F.shiftleft(first, 11).bitwiseAND(m))
+        return F.array_append(words, last.bitwiseXOR(F.shiftrightunsigned(last, 19)).bitwiseXOR(t).bitwiseXOR(F.shiftrightunsigned(t, 8)))
+
+    return F.slice(F.aggregate(F.sequence(F.lit(0), F.lit(IDLE + n)), start, longer), IDLE + 2, n)
+
+
+def random_longs(seed: Column, n: int, wide: bool = False) -> Column:
+    """The first n 64-bit numbers, as bit patterns; each shares a half with the next."""
+    words = random_words(seed, n + 1, wide)
+    return F.transform(F.slice(words, 1, n), lambda x, i: F.shiftleft(x, 32).bitwiseOR(F.get(words, i + 1)))

@@ -247,7 +247,33 @@ def hash_bytewise(spark, sf_dir) -> DataFrame:
 
 @query()
 def hash_mixers(spark, sf_dir) -> DataFrame:
-    return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in (*hashing.mixers.ALL, "crc32", "xxh64")])
+    return _event_keys(spark, sf_dir).select("event_id", *[hashing.REGISTRY[n](F.col("k")).alias(n) for n in (*hashing.mixers.ALL, *hashing.longmixers.ALL, "crc32", "xxh64")])
+
+
+@query()
+def hash_mixers_wide(spark, sf_dir) -> DataFrame:
+    return _event_keys(spark, sf_dir).select("event_id", *[hashing.wide(n)(F.col("k")).alias(n) for n in hashing.WIDE])
+
+
+M32 = 0xFFFFFFFF
+
+
+# the CRC takes a bit a step: a byte, then eight times -1
+@query(f"""WITH b AS (SELECT event_id, [ascii(substr(k, i, 1))::UBIGINT FOR i IN range(1, 13)] AS b FROM (SELECT event_id, 'key-' || lpad(event_id::VARCHAR, 8, '0') AS k FROM events)),
+w AS (SELECT event_id, flatten([[x::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN b]) AS bits, [b[i + 1] + b[i + 2] * 256 + b[i + 3] * 65536 + b[i + 4] * 16777216 FOR i IN range(0, 12, 4)] AS w FROM b),
+x AS (SELECT event_id, bits, [(xor(x, x >> 24) * 1540483477) & {M32} FOR x IN [(x * 1540483477) & {M32} FOR x IN w]] AS two,
+ [((((x << 15) & {M32}) | (x >> 17)) * 461845907) & {M32} FOR x IN [(x * 3432918353) & {M32} FOR x IN w]] AS three FROM w),
+h AS (SELECT event_id, bits, list_reduce(list_prepend(12::UBIGINT, two), lambda a, x: xor((a * 1540483477) & {M32}, x)) AS two,
+ xor(list_reduce(list_prepend(0::UBIGINT, three), lambda a, x: ((((xor(a, x) << 13) & {M32}) | (xor(a, x) >> 19)) * 5 + 3864292196) & {M32}), 12::UBIGINT) AS three FROM x),
+f AS (SELECT event_id, bits, (xor(two, two >> 13) * 1540483477) & {M32} AS two, (xor(three, three >> 16) * 2246822507) & {M32} AS three, ((xor(event_id, event_id >> 16))::UBIGINT * 2246822507) & {M32} AS own FROM h),
+g AS (SELECT event_id, bits, xor(two, two >> 15) AS two, (xor(three, three >> 13) * 3266489909) & {M32} AS three, (xor(own, own >> 13) * 3266489909) & {M32} AS own FROM f)
+SELECT event_id, two::BIGINT AS murmur2, xor(three, three >> 16)::BIGINT AS murmur3a, xor(own, own >> 16)::BIGINT AS fmix32,
+ xor(list_reduce(list_prepend({M32}::BIGINT, bits), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), {M32}) AS crc32,
+ xor(list_reduce(list_prepend(xor({M32}, 1234)::BIGINT, bits), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), {M32}) AS crc32_seeded FROM g""")
+def hash_words(spark, sf_dir) -> DataFrame:
+    k = F.col("k")
+    return _event_keys(spark, sf_dir).select("event_id", hashing.REGISTRY["murmur2"](k).alias("murmur2"), hashing.REGISTRY["murmur3a"](k).alias("murmur3a"), hashing.finalised32(F.col("event_id")).alias("fmix32"),
+                                             hashing.REGISTRY["crc32"](k).alias("crc32"), hashing.vectorised("crc32_seeded", 1234)(k).alias("crc32_seeded"))
 
 
 # Murmur 3 in two 64-bit words, of the same keys: they are all tail
@@ -590,6 +616,26 @@ def bit_ops(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(e, F.bit_count(e).alias("ones"), bits.parity(e).alias("parity"), bits.get_bit(e, 3).alias("bit3"), bits.set_bit(e, 5).alias("set5"), bits.clear_bit(e, 2).alias("clear2"), bits.flip_bit(e, 7).alias("flip7"), F.shiftleft(e, 3).alias("up3"), F.shiftrightunsigned(e, 2).alias("down2"), bits.rotate_left32(e, 13).alias("left13"), bits.rotate_right32(e, 7).alias("right7"), bits.window32(e, 4, 6).alias("window4"), F.hex(e).alias("hex"))
 
 
+PACKED = "array_to_string([printf('%02X', list_sum([b[8 * j + i + 1] << i FOR i IN range(8)])::INT) FOR j IN range(16)], '')"
+
+
+def _packed(bit: str) -> str:
+    """The hex of 128 bits, each an expression in i."""
+    return f"(SELECT {PACKED} FROM (SELECT [({bit}) FOR i IN range(128)] AS b))"
+
+
+@query(f"""WITH k AS (SELECT c_custkey, (c_custkey * 7 % 131)::INT AS n, md5(c_custkey::VARCHAR) AS key FROM customer),
+v AS (SELECT *, flatten([[(('0x' || substr(key, 2 * j + 1, 2))::INT >> i) & 1 FOR i IN range(8)] FOR j IN range(16)]) AS v FROM k)
+SELECT c_custkey, n, {_packed("CASE WHEN i >= n THEN v[i - n + 1] ELSE 0 END")} AS up, {_packed("CASE WHEN i + n < 128 THEN v[i + n + 1] ELSE 0 END")} AS down,
+ {_packed("v[(i - n + 256) % 128 + 1]")} AS turned_up, {_packed("v[(i + n) % 128 + 1]")} AS turned_down,
+ {_packed("CASE WHEN i = n THEN 1 ELSE v[i + 1] END")} AS with_set, {_packed("CASE WHEN i = n THEN 0 ELSE v[i + 1] END")} AS with_clear, {_packed("CASE WHEN i = n THEN 1 - v[i + 1] ELSE v[i + 1] END")} AS with_flip,
+ list_sum([v[(n + i) % 128 + 1]::BIGINT << i FOR i IN range(20)])::BIGINT AS window20, CASE WHEN n < 128 THEN v[n + 1] ELSE 0 END AS bit, v[n % 128 + 1] AS bit_wrapped FROM v""")
+def bit_blobs(spark, sf_dir) -> DataFrame:
+    b, n = F.unhex(F.md5(F.col("c_custkey").cast("string"))), (F.col("c_custkey") * 7 % 131).cast("int")
+    moved = {"up": bits.shift_left, "down": bits.shift_right, "turned_up": bits.rotate_left, "turned_down": bits.rotate_right, "with_set": bits.set_bit_at, "with_clear": bits.clear_bit_at, "with_flip": bits.flip_bit_at}
+    return table(spark, sf_dir, "customer").select("c_custkey", n.alias("n"), *[F.hex(f(b, n)).alias(name) for name, f in moved.items()], bits.window(b, n, 20).alias("window20"), bits.bit_at(b, n).alias("bit"), bits.bit_at(b, n, wrap=True).alias("bit_wrapped"))
+
+
 @query("SELECT 'rate-' || event_type AS title, (user_id % 20)::DOUBLE AS x, round(count(*) / sum(value), 6) AS y FROM events WHERE event_type NOT IN ('view', 'error') GROUP BY 1, 2")
 def bench_series(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("rate-"), "event_type").alias("t"), (F.col("user_id") % 20).alias("b")).agg(report.throughput(F.count("*"), F.sum("value")).alias("y"))
@@ -619,6 +665,13 @@ def keyset_recurrence(spark, sf_dir) -> DataFrame:
     return keysets.recurrence(spark, 5000, 921544879)
 
 
+@query(f"""WITH RECURSIVE g AS (SELECT c_custkey AS seed, 0 AS i, xor(c_custkey, 1233861573) & {M32} AS x, 0::BIGINT AS y, 0::BIGINT AS z, 0::BIGINT AS w FROM customer
+ UNION ALL SELECT seed, i + 1, y, z, w, xor(xor(w, w >> 19), xor(xor(x, (x << 11) & {M32}), xor(x, (x << 11) & {M32}) >> 8)) FROM g WHERE i < 14) SELECT seed, i - 11 AS i, x AS word FROM g WHERE i > 10""")
+def keyset_xorshift(spark, sf_dir) -> DataFrame:
+    seed = F.col("c_custkey").cast("long")
+    return table(spark, sf_dir, "customer").select(seed.alias("seed"), F.posexplode(keysets.random_words(seed, 4)).alias("i", "word"))
+
+
 HEADERS = """h AS (SELECT event_id, list_extract(['feat', 'fix', 'docs', 'nope', 'merge'], (1 + event_id % 5)::INT) || '(' || list_extract(['*', 'sstable', 'other'], (1 + event_id % 3)::INT) || ')' || list_extract(['', '!'], (1 + event_id % 2)::INT) || ': '
  || list_extract(['add a key', 'Add a key', 'add  a key', 'add a key.', 'add é', ''], (1 + event_id % 7 % 6)::INT) AS header FROM events)"""
 SCOPES = ("*", "sstable")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import hashing, keysets, mixers
+from lodestrata.functions import bits, hashing, keysets, longmixers, mixers
 from lodestrata.operators import access, bloom, layout, merge, report, txn
 from lodestrata.plans import registry
 from lodestrata.plans.util import ordered
@@ -244,3 +244,55 @@ def test_a_cluster_needs_a_shared_folder():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda _: None), master="spark://host:7077")
     with pytest.raises(ValueError):
         util.shared_dir(SimpleNamespace(sparkContext=sc))
+
+
+@pytest.mark.parametrize("name,width,code", [("city64", 8, 0x25A20825), ("city128", 16, 0x6531F54E), ("spooky32", 4, 0x3F798BBB), ("spooky64", 8, 0xA7F955F1), ("spooky128", 16, 0x8D263080), ("crc32", 4, 0x3719DB20)])
+def test_long_mixers(name, width, code):
+    assert hashing.verification(getattr(longmixers, name), width) == code
+    assert len(getattr(longmixers, name)([])) == 0
+
+
+def test_blob_bits_equal_big_integers(spark):
+    rows = [(b"", 0), (b"\x81", 0), (b"\x81", 3), (bytes(range(200, 213)), 0), (bytes(range(200, 213)), 29), (bytes(range(200, 213)), 104), (bytes(range(13)), 500), (None, 3)]
+    d = spark.createDataFrame([(bytearray(b) if b is not None else None, n) for b, n in rows], "b binary, n int")
+    b, n = F.col("b"), F.col("n")
+    got = d.select("b", "n", bits.shift_left(b, n).alias("up"), bits.shift_right(b, n).alias("down"), bits.rotate_left(b, n).alias("left"), bits.rotate_right(b, n).alias("right"), bits.set_bit_at(b, n).alias("one"), bits.clear_bit_at(b, n).alias("zero"), bits.flip_bit_at(b, n).alias("flip"),
+                   bits.window(b, n, 32).alias("window"), bits.bit_at(b, n).alias("bit"), bits.bit_at(b, n, wrap=True).alias("wrapped")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.b is None:
+            assert all(r[c] is None for c in ("up", "down", "left", "right", "one", "zero", "flip", "window", "bit"))
+            continue
+        size, v = 8 * len(r.b), int.from_bytes(r.b, "little")
+        whole, turn = (1 << size) - 1, r.n % size if size else 0
+        right = (v >> turn | v << (size - turn)) & whole
+        want = {"up": v << r.n & whole, "down": v >> r.n, "left": (v << turn | v >> (size - turn)) & whole, "right": right, "one": (v | 1 << r.n) & whole, "zero": v & ~(1 << r.n), "flip": (v ^ 1 << r.n) & whole}
+        assert {c: int.from_bytes(r[c], "little") for c in want} == want and all(len(r[c]) == len(r.b) for c in want)
+        assert r.bit == v >> r.n & 1
+        if size:
+            again = sum(((v >> (turn + i) % size) & 1) << i for i in range(32))
+            assert r.window == again and r.wrapped == right & 1
+
+
+def test_xorshift(spark):
+    def words(seed, n, y):
+        x, z, w, out = 0x498B3BC5 ^ seed & 0xFFFFFFFF, 0, 0, []
+        for i in range(10 + n):
+            t = (x ^ x << 11) & 0xFFFFFFFF
+            x, y, z, w = y, z, w, w ^ w >> 19 ^ t ^ t >> 8
+            out.append(x)
+        return out[10:]
+
+    seeds = [0, 1, 7, 2**32 - 1, 2**40 + 5]
+    got = spark.createDataFrame([(s,) for s in seeds], "s long").select("s", keysets.random_words(F.col("s"), 6).alias("a"), keysets.random_words(F.col("s"), 6, True).alias("b"), keysets.random_longs(F.col("s"), 5).alias("c")).collect()
+    for r in got:
+        assert r.a == words(r.s, 6, 0) and r.b == words(r.s, 6, 0x5A05089A ^ r.s >> 32)
+        assert [x % 2**64 for x in r.c] == [a << 32 | b for a, b in zip(r.a, r.a[1:])]
+
+
+def test_fmix32_equals_numpy(spark):
+    import numpy as np
+
+    values = [0, 1, 2**31, 2**32 - 1, 123456789]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select(hashing.finalised32(F.col("v"))).collect()
+    assert [r[0] for r in got] == mixers.fmix32(np.array(values, np.uint32)).tolist()
