@@ -2,17 +2,19 @@
 
 Hashes of line keys are range-partitioned by (hash, salt) and sorted by
 document and position within; one streaming pass per (hash, salt) finds the
-first document, and is told where another salt's is smaller.  The salt spreads
-a line that much of the corpus holds.  What
+first document, and is told where another salt's is smaller.  The salts spread
+a line that much of the corpus holds; their number grows with the lines.  What
 is returned per document is a run-length keep bitmap, not text.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from .common import LOWER, SPACE, UPPER, cut
 
 SALTS = 64
+#: Lines for which there is one salt more.
+LINES_A_SALT = 1 << 20
 MIN_CHARS = 10
 
 
@@ -34,18 +36,26 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def salts_for(lines: int, least: int) -> int:
+    return least + lines // LINES_A_SALT
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
     """(doc_id, th, pos): lines whose key is first held by a smaller doc_id.
 
-    th is a hash of the row's text, so that rows with equal doc_id stay apart."""
+    th is a hash of the row's text, so that rows with equal doc_id stay apart.
+    There are `salts` salts and one more per LINES_A_SALT lines, see salts_for;
+    how many never changes the result."""
     line = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     line = line.select("doc_id", "th", "pos", line_key(F.col("line")).alias("key")).where((F.length("key") >= min_chars) & F.col("doc_id").isNotNull())
-    line = line.select(F.unhex(F.md5("key")).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "th", "pos")
+    line, seen = line.select(F.unhex(F.md5("key")).alias("h"), "doc_id", "th", "pos"), Observation()
     # sampling the ranges reads the lines once more: texts are split but once
-    line = cut(line).repartitionByRange("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "pos")
+    line = cut(line.observe(seen, F.count(F.lit(1)).alias("n")))
+    n_salts = salts_for(seen.get.get("n") or 0, salts)
+    line = line.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(n_salts)).cast("int")).repartitionByRange("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "pos")
     own = Window.partitionBy("h", "salt").orderBy("doc_id", "pos")
     line = line.withColumn("first_here", F.first("doc_id").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    # at most `salts` rows of a hash are left; only where another salt's first document is smaller, the pass needs to be told
+    # at most a row a salt is left of a hash; only where another salt's first document is smaller, the pass needs to be told
     every = Window.partitionBy("h")
     firsts = line.withColumn("nth", F.row_number().over(own)).where("nth = 1")
     lower = firsts.select("h", "salt", "first_here", F.min("first_here").over(every).alias("lo")).where("lo < first_here").select("h", "salt", "lo")

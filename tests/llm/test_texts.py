@@ -317,8 +317,10 @@ def test_bpe_trees_agree():
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_line_dedup_like_sql(spark, seed):
+def test_line_dedup_like_sql(spark, seed, monkeypatch):
     rng = random.Random(seed)
+    monkeypatch.setattr(linededup, "LINES_A_SALT", 3 if seed else linededup.LINES_A_SALT)
+    assert seed == 0 or linededup.salts_for(300, 64) == 164
     part = ["Élan vital des", "ABC def ghi jkl", " \t", "ⒶⒷ circled letters", "ΣΑΣ final sigma", " x", "\n", "\n", "\n", "İstanbul DOTTED", "short", "\r"]
     rows = [(i, "".join(rng.choice(part) for _ in range(rng.randrange(9))) if rng.random() > 0.05 else None) for i in range(120)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
