@@ -1,10 +1,21 @@
 """Quality of hash columns: collisions, distribution, avalanche, independence."""
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bits import flip_bit, get_bit, shl, window32
 
+# The counters below carry their own code to executors, which need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Hashes that are shipped in one row, and those counted in one step.
+SHIPPED, COUNTED = 1 << 16, 1 << 20
+
 
 def collisions(rows: DataFrame, h: str = "h", bits: int = 32) -> DataFrame:
     """Keys, collisions (keys less distinct hashes), the number expected and whether it holds.
@@ -89,12 +100,86 @@ def fast_scores(rows: DataFrame, h: str = "h") -> DataFrame:
     return window_scores(rows, 16, range(0, 32, 8), h).agg(F.max("score").alias("worst"), F.avg("score").alias("mean"))
 
 
+def _turned(words: np.ndarray, start: int, width: int) -> np.ndarray:
+    """window32 of 32-bit words."""
+    x = (words >> np.uint32(start) | words << np.uint32(32 - start)) if start else words
+    return x & np.uint32((1 << width) - 1)
+
+
+def _lanes(rows: DataFrame, h: str, lanes: int, count, schema: str) -> DataFrame:
+    """Rows of count(lane, blocks), where blocks yields all hashes of rows: (32-bit words, number of nulls).
+
+    The hashes are packed and every lane, one task, gets all of them: each
+    costs four bytes a lane, and no task holds more than a block beside what
+    count keeps."""
+
+    def pack(batches):
+        held, size, nulls = [], 0, 0
+
+        def row():
+            return pa.RecordBatch.from_pydict({"data": pa.array([np.concatenate(held).tobytes() if held else b""], pa.binary()), "nulls": pa.array([nulls], pa.int64())})
+
+        for b in batches:
+            c = b.column(0)
+            nulls += c.null_count
+            held.append((c.drop_null().to_numpy(zero_copy_only=False) & 0xFFFFFFFF).astype(np.uint32))
+            size += len(held[-1])
+            if size >= SHIPPED:
+                yield row()
+                held, size, nulls = [], 0, 0
+        if size or nulls:
+            yield row()
+
+    def blocks(batches):
+        held, size, nulls = [], 0, 0
+        for b in batches:
+            nulls += sum(b.column(1).to_pylist())
+            for x in b.column(0):
+                held.append(np.frombuffer(x.as_buffer(), np.uint32))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield np.concatenate(held), nulls
+                    held, size, nulls = [], 0, 0
+        if held or nulls:
+            yield np.concatenate([np.empty(0, np.uint32), *held]), nulls
+
+    def one(batches):
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        lane = first.column(2)[0].as_py()
+
+        def all_batches():
+            yield first
+            yield from batches
+
+        yield from count(lane, blocks(all_batches()))
+
+    packed = rows.select(F.col(h).cast("long").alias("h")).mapInArrow(pack, "data binary, nulls long")
+    each = packed.select("data", "nulls", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    return each.repartitionById(lanes, F.col("lane")).mapInArrow(one, schema)
+
+
 def byte_pairs(rows: DataFrame, starts=range(32), h: str = "h") -> DataFrame:
-    """(a, b, score) of the 65,536 bins of two 8-bit windows, a <= b; the order of a pair makes no difference."""
-    pair = lambda a, b: window32(F.col(h), a, 8).bitwiseOR(F.shiftleft(window32(F.col(h), b, 8), 8))
-    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pair(a, b).alias("bin")) for a in starts for b in starts if a <= b]))
-    n = rows.select(each.alias("x")).select("x.*").groupBy("a", "b", "bin").agg(F.count("*").cast("double").alias("n"))
-    t = n.groupBy("a", "b").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    """(a, b, score) of the 65,536 bins of two 8-bit windows, a <= b; the order of a pair makes no difference.
+
+    A task counts some 33 pairs in arrays of all bins; no row is made for a key and pair."""
+    pairs = [(a, b) for a in starts for b in starts if a <= b]
+    per = 33
+    n = -(-len(pairs) // per)
+
+    def count(lane, blocks):
+        mine = pairs[lane * per:(lane + 1) * per]
+        bins, nulls = np.zeros((len(mine), 1 << 16), np.int64), 0
+        for words, none in blocks:
+            nulls += none
+            windows = {s: _turned(words, s, 8).astype(np.uint16) for s in {s for pair in mine for s in pair}}
+            for i, (a, b) in enumerate(mine):
+                bins[i] += np.bincount(windows[a] | windows[b] << 8, minlength=1 << 16)
+        k, q = bins.sum(1) + nulls, (bins * bins).sum(1) + nulls * nulls
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in mine], pa.int32()), "b": pa.array([b for _, b in mine], pa.int32()), "k": k.astype(float), "q": q.astype(float)})
+
+    t = _lanes(rows, h, n, count, "a int, b int, k double, q double")
     return t.select("a", "b", _score(F.col("k"), F.col("q"), 65536.0).alias("score"))
 
 

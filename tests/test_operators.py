@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import bits, hashing, keysets, longmixers, mixers
+from lodestrata.functions import bits, hashing, hashstats, keysets, longmixers, mixers
 from lodestrata.operators import access, bloom, layout, merge, report, txn
 from lodestrata.plans import registry
 from lodestrata.plans.util import ordered
@@ -296,3 +297,29 @@ def test_fmix32_equals_numpy(spark):
     values = [0, 1, 2**31, 2**32 - 1, 123456789]
     got = spark.createDataFrame([(v,) for v in values], "v long").select(hashing.finalised32(F.col("v"))).collect()
     assert [r[0] for r in got] == mixers.fmix32(np.array(values, np.uint32)).tolist()
+
+
+def _window(h, s, width):
+    return (h >> s | h << 32 - s) & (1 << width) - 1
+
+
+def _score(bins, bits):
+    """The score of each bin's keys; None where no two keys share a bin."""
+    counts = Counter(bins)
+    k, q = float(sum(counts.values())), float(sum(c * c for c in counts.values()))
+    return 1 - ((k * k - 1) / (q - k)) / 2.0 ** bits if q > k else None
+
+
+def _hashes(spark, n, parts=3):
+    """Uneven 32-bit hashes and two nulls."""
+    rng = random.Random(n)
+    h = [rng.choice([rng.getrandbits(32), rng.getrandbits(6) << 13, 0xFFFFFFFF]) for _ in range(n)] + [None, None]
+    return h, spark.createDataFrame([(x,) for x in h], "h long").repartition(parts)
+
+
+def test_byte_pairs(spark):
+    h, d = _hashes(spark, 400)
+    got = hashstats.byte_pairs(d)
+    assert len(got._jdf.queryExecution().toString()) < 20_000  # the plan made a row a pair, and ran a small driver out of memory
+    want = {(a, b): _score([None if x is None else _window(x, a, 8) | _window(x, b, 8) << 8 for x in h], 16) for a in range(32) for b in range(a, 32)}
+    assert {(r.a, r.b): r.score for r in got.collect()} == want
