@@ -73,19 +73,24 @@ def _ring(blob: Column) -> Column:
     return F.greatest(F.octet_length(blob), F.lit(1))
 
 
+def _bound(values: dict[str, Column], body) -> Column:
+    """body of a struct of values, each found once; inside of a lambda an expression is run anew for every element."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(name) for name, c in values.items()])), body), F.lit(0))
+
+
 def _moved(blob: Column, by: Column, wrap: bool) -> Column:
     """The bits of a byte string, each from `by` places above it; past the ends are zeros, or the other end if wrap."""
-    b = bytes_of(blob)
-    size = F.octet_length(blob)
-    whole, part = F.floor(by / 8).cast("int"), F.pmod(by, F.lit(8))
 
-    def at(i):
-        return F.get(b, F.pmod(i, size)) if wrap else F.when((i >= 0) & (i < size), F.get(b, i)).otherwise(F.lit(0))
+    def moved(v):
+        def at(i):
+            return F.get(v.b, F.pmod(i, v["size"])) if wrap else F.when((i >= 0) & (i < v["size"]), F.get(v.b, i)).otherwise(F.lit(0))
 
-    def byte(_, i):
-        return shr(at(i + whole), part).bitwiseOR(shl(at(i + whole + 1), 8 - part)).bitwiseAND(F.lit(255))
+        def byte(_, i):
+            return shr(at(i + v.whole), v.part).bitwiseOR(shl(at(i + v.whole + 1), 8 - v.part)).bitwiseAND(F.lit(255))
 
-    return blob_of(F.transform(b, byte))
+        return blob_of(F.transform(v.b, byte))
+
+    return _bound({"b": bytes_of(blob), "size": F.octet_length(blob), "whole": F.floor(by / 8).cast("int"), "part": F.pmod(by, F.lit(8))}, moved)
 
 
 def shift_left(blob: Column, n) -> Column:
@@ -106,24 +111,32 @@ def rotate_right(blob: Column, n) -> Column:
 
 def window(blob: Column, start, width: int) -> Column:
     """`width` bits, to 32, from bit `start`, wrapping round, as a long; null for an empty string."""
-    b = bytes_of(blob)
-    first, part = F.floor(_number(start) / 8).cast("int"), F.pmod(_number(start), F.lit(8))
-    five = [shl(F.get(b, F.pmod(first + i, _ring(blob))).cast("long"), 8 * i) for i in range(5)]
-    return shr(sum(five[1:], five[0]), part).bitwiseAND(F.lit((1 << width) - 1))
+
+    def found(v):
+        five = [shl(F.get(v.b, F.pmod(v["first"] + i, v.ring)).cast("long"), 8 * i) for i in range(5)]
+        return shr(sum(five[1:], five[0]), v.part).bitwiseAND(F.lit((1 << width) - 1))
+
+    return _bound({"b": bytes_of(blob), "ring": _ring(blob), "first": F.floor(_number(start) / 8).cast("int"), "part": F.pmod(_number(start), F.lit(8))}, found)
 
 
 def bit_at(blob: Column, i, wrap: bool = False) -> Column:
     """Bit i of a byte string; past its end 0, or the bit met by wrapping round."""
     i = _number(i)
     byte = F.floor(i / 8).cast("int")
-    got = F.get(bytes_of(blob), F.pmod(byte, _ring(blob)) if wrap else byte)
+    at = F.pmod(byte, _ring(blob)) if wrap else byte
+    there = (at >= 0) & (at < F.octet_length(blob))
+    # one byte is read, and only where there is one
+    got = F.when(there, F.conv(F.hex(F.substring(blob, at + 1, F.lit(1))), 16, 10).cast("int"))
     return F.when(blob.isNotNull(), F.coalesce(shr(got, F.pmod(i, F.lit(8))).bitwiseAND(F.lit(1)), F.lit(0)))
 
 
 def _with_bit(blob: Column, i, change) -> Column:
     i = _number(i)
-    bit = shl(F.lit(1), F.pmod(i, F.lit(8)))
-    return blob_of(F.transform(bytes_of(blob), lambda x, at: F.when(at == F.floor(i / 8), change(x, bit)).otherwise(x)))
+
+    def changed(v):
+        return blob_of(F.transform(v.b, lambda x, at: F.when(at == v.byte, change(x, v.bit)).otherwise(x)))
+
+    return _bound({"b": bytes_of(blob), "byte": F.floor(i / 8), "bit": shl(F.lit(1), F.pmod(i, F.lit(8)))}, changed)
 
 
 def set_bit_at(blob: Column, i) -> Column:

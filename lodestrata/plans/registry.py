@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import bits, hashing, hashstats, keysets
 from ..operators import access, bloom, layout, merge, report, txn
 from ..sources.views import SQL_LOG, SQL_ORDERS, SQL_TXN, kv_log, kv_orders, levels, table, txn_ops
-from .util import ordered, scratch
+from .util import ordered, scratch, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -633,7 +633,9 @@ SELECT c_custkey, n, {_packed("CASE WHEN i >= n THEN v[i - n + 1] ELSE 0 END")}
 def bit_blobs(spark, sf_dir) -> DataFrame:
     b, n = F.unhex(F.md5(F.col("c_custkey").cast("string"))), (F.col("c_custkey") * 7 % 131).cast("int")
     moved = {"up": bits.shift_left, "down": bits.shift_right, "turned_up": bits.rotate_left, "turned_down": bits.rotate_right, "with_set": bits.set_bit_at, "with_clear": bits.clear_bit_at, "with_flip": bits.flip_bit_at}
-    return table(spark, sf_dir, "customer").select("c_custkey", n.alias("n"), *[F.hex(f(b, n)).alias(name) for name, f in moved.items()], bits.window(b, n, 20).alias("window20"), bits.bit_at(b, n).alias("bit"), bits.bit_at(b, n, wrap=True).alias("bit_wrapped"))
+    d = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", n.alias("n"), b.alias("b"))
+    b, n = F.col("b"), F.col("n")
+    return d.select("c_custkey", "n", *[F.hex(f(b, n)).alias(name) for name, f in moved.items()], bits.window(b, n, 20).alias("window20"), bits.bit_at(b, n).alias("bit"), bits.bit_at(b, n, wrap=True).alias("bit_wrapped"))
 
 
 @query("SELECT 'rate-' || event_type AS title, (user_id % 20)::DOUBLE AS x, round(count(*) / sum(value), 6) AS y FROM events WHERE event_type NOT IN ('view', 'error') GROUP BY 1, 2")

@@ -34,6 +34,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """df dealt to at least two tasks a core and one per so many rows, for work that costs more than its input's bytes tell."""
+    tasks = 2 * max(16, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(tasks, -(-df.count() // rows)))
+
+
 def ordered(df: DataFrame, *keys: str) -> DataFrame:
     """df with `part` and the 0-based position `pos` in the order of keys.
 

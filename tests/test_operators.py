@@ -323,3 +323,12 @@ def test_byte_pairs(spark):
     assert len(got._jdf.queryExecution().toString()) < 20_000  # the plan made a row a pair, and ran a small driver out of memory
     want = {(a, b): _score([None if x is None else _window(x, a, 8) | _window(x, b, 8) << 8 for x in h], 16) for a in range(32) for b in range(a, 32)}
     assert {(r.a, r.b): r.score for r in got.collect()} == want
+
+
+def test_blob_bits_find_the_bytes_once(spark):
+    data = random.Random(1).randbytes(5000)
+    d = spark.createDataFrame([(bytearray(data),)], "b binary")
+    got = d.select(bits.rotate_left(F.col("b"), F.lit(11)).alias("r"))
+    assert got._jdf.queryExecution().analyzed().toString().count("conv(") == 1  # within the lambda they were found anew for every byte
+    v = int.from_bytes(data, "little")
+    assert int.from_bytes(got.first().r, "little") == (v << 11 | v >> 40000 - 11) & (1 << 40000) - 1
