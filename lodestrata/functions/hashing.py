@@ -127,15 +127,16 @@ def verification(fn, width: int = 4) -> int:
     return int.from_bytes(digest(whole, 0)[:4], "little")
 
 
-def wrapping_multiply(a: Column, b: int) -> Column:
-    """a * b modulo 2^64 on bit patterns, in the JVM and without overflow errors, by 32- and 16-bit parts."""
+def wrapping_multiply(a: Column, b) -> Column:
+    """a * b modulo 2^64 on bit patterns, in the JVM and without overflow errors, by 32- and 16-bit parts; b is a column or a number."""
     m32, m16 = F.lit(0xFFFFFFFF), F.lit(0xFFFF)
+    # 16 bits of b from bit n
+    part = (lambda n: F.shiftrightunsigned(b, n).bitwiseAND(m16)) if isinstance(b, Column) else (lambda n: F.lit(b >> n & 0xFFFF))
     ah, al = F.shiftrightunsigned(a, 32), a.bitwiseAND(m32)
-    bh, bl = b >> 32 & 0xFFFFFFFF, b & 0xFFFFFFFF
-    low = lambda p, q: (p * F.lit(q & 0xFFFF) + F.shiftleft((p * F.lit(q >> 16)).bitwiseAND(m16), 16))
-    s = low(al, bl)
-    carry = F.shiftrightunsigned(s, 32) + F.shiftrightunsigned(al * F.lit(bl >> 16), 16)
-    hi = (carry + low(ah, bl).bitwiseAND(m32) + low(al, bh).bitwiseAND(m32)).bitwiseAND(m32)
+    low = lambda p, n: (p * part(n) + F.shiftleft((p * part(n + 16)).bitwiseAND(m16), 16))
+    s = low(al, 0)
+    carry = F.shiftrightunsigned(s, 32) + F.shiftrightunsigned(al * part(16), 16)
+    hi = (carry + low(ah, 0).bitwiseAND(m32) + low(al, 32).bitwiseAND(m32)).bitwiseAND(m32)
     return F.shiftleft(hi, 32).bitwiseOR(s.bitwiseAND(m32))
 
 

@@ -332,3 +332,17 @@ def test_blob_bits_find_the_bytes_once(spark):
     assert got._jdf.queryExecution().analyzed().toString().count("conv(") == 1  # within the lambda they were found anew for every byte
     v = int.from_bytes(data, "little")
     assert int.from_bytes(got.first().r, "little") == (v << 11 | v >> 40000 - 11) & (1 << 40000) - 1
+
+
+def test_roundtrips_of_large_ids(spark, duck, tmp_path):
+    ids = [0, 1048575, 1048576, 5999999, 1 << 27, 1 << 28, (1 << 40) + 12345, 2**63 - 1]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r for r in registry.u64_roundtrip(spark, str(tmp_path)).collect()}
+    for i in ids:
+        word = (i ** 3 * 37 % 2**64).to_bytes(8, "little")
+        assert (got[i].encoded, got[i].decoded) == (word.hex(), int.from_bytes(word, "little", signed=True))
+    short = {r.event_id: r for r in registry.varint_roundtrip(spark, str(tmp_path)).collect()}
+    assert all(short[i].decoded == i and len(short[i].encoded) % 2 == 0 for i in ids)
+    # beyond three bytes the SQL of varint_wide holds, which varint_roundtrip's doesn't reach
+    wide = registry.WIDTHS.replace("(1::BIGINT << (event_id % 63)::INT) + event_id", "event_id").replace("FROM events", f"FROM (SELECT unnest({ids})::BIGINT AS event_id)")
+    assert dict(duck.sql(f"WITH {wide} SELECT event_id, encoded FROM e").fetchall()) == {i: short[i].encoded for i in ids}
