@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.util import spread
 from .bits import flip_bit, get_bit, shl, window32
 
 # The counters below carry their own code to executors, which need no copy of the package.
@@ -106,6 +107,23 @@ def _turned(words: np.ndarray, start: int, width: int) -> np.ndarray:
     return x & np.uint32((1 << width) - 1)
 
 
+def _cover(starts, more: int) -> dict[int, list[int]]:
+    """The starts dealt to windows that are `more` bits wider: {start of such a window: the starts in it}."""
+    out: dict[int, list[int]] = {}
+    for s in sorted(set(starts)):
+        first = next(reversed(out), None)
+        if first is None or s > first + more:
+            out[s] = [s]
+        else:
+            out[first].append(s)
+    return out
+
+
+def _inner(bins: np.ndarray, start: int, width: int) -> np.ndarray:
+    """The bins of the window of `width` bits from bit `start` of a wider window's."""
+    return bins.reshape(-1, 1 << width, 1 << start).sum((0, 2))
+
+
 def _lanes(rows: DataFrame, h: str, lanes: int, count, schema: str) -> DataFrame:
     """Rows of count(lane, blocks), where blocks yields all hashes of rows: (32-bit words, number of nulls).
 
@@ -184,12 +202,62 @@ def byte_pairs(rows: DataFrame, starts=range(32), h: str = "h") -> DataFrame:
 
 
 def differential_scores(rows: DataFrame, key: str, hashed, in_bits: int, width: int = 8) -> DataFrame:
-    """(in_bit, n, collisions, worst): of the differences of hashes when an input bit is flipped, their collisions and worst window."""
-    d = rows.select(hashed(F.col(key)).alias("h0"), F.explode(F.sequence(F.lit(0), F.lit(in_bits - 1))).alias("in_bit"), F.col(key).alias("k"))
+    """(in_bit, n, collisions, worst): of the differences of hashes when an input bit is flipped, their collisions and worst window.
+
+    Equal differences are brought together once; each task then counts its own in arrays of wider windows, which
+    hold those of several starts, and sends one row an input bit."""
+    k = spread(rows.select(F.col(key).alias("k")))
+    d = k.select(hashed(F.col("k")).alias("h0"), F.explode(F.sequence(F.lit(0), F.lit(in_bits - 1))).alias("in_bit"), "k")
     d = d.select("in_bit", F.col("h0").bitwiseXOR(hashed(flip_bit(F.col("k"), F.col("in_bit")))).alias("h"))
-    same = d.groupBy("in_bit", "h").agg(F.count("*").alias("c")).groupBy("in_bit").agg(F.sum("c").alias("n"), F.sum(F.col("c") - 1).alias("collisions"))
-    worst = window_scores(d, width, by=["in_bit"]).groupBy("in_bit").agg(F.max("score").alias("worst"))
-    return same.join(worst, "in_bit")
+    same = d.groupBy("in_bit", "h").agg(F.count("*").alias("c"))
+    wide = min(32, max(width, 16))
+    cover = _cover(range(32), wide - width)
+
+    def count(batches):
+        bins, totals = {}, {}
+        for b in gathered(batches):
+            bit, none = b.column(0).to_numpy(), b.column(1).is_null().to_numpy(zero_copy_only=False)
+            words, c = (b.column(1).fill_null(0).to_numpy() & 0xFFFFFFFF).astype(np.uint32), b.column(2).to_numpy()
+            for i in np.unique(bit):
+                mine = bit == i
+                t = totals.setdefault(i, np.zeros(3, np.int64))
+                t += (c[mine].sum(), (mine & ~none).sum(), c[mine & none].sum())
+                w, n = words[mine & ~none], c[mine & ~none]
+                several = np.flatnonzero(n > 1)
+                for s in cover:
+                    x = _turned(w, s, wide)
+                    to = bins.setdefault((i, s), np.zeros(1 << wide, np.int64))
+                    to += np.bincount(x, minlength=1 << wide)
+                    np.add.at(to, x[several], n[several] - 1)
+        for i, t in totals.items():
+            narrow = np.concatenate([_inner(bins[i, s], o, width) for s in cover for o in range(len(cover[s]))])
+            yield pa.RecordBatch.from_pydict({"in_bit": pa.array([i], pa.int32()), "totals": pa.array([t.tobytes()], pa.binary()), "bins": pa.array([narrow.tobytes()], pa.binary())})
+
+    def gathered(batches):
+        held = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= COUNTED:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        if sum(x.num_rows for x in held):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def merge(batches):
+        sums = {}
+        for b in batches:
+            for i, *parts in zip(*(c.to_pylist() for c in b.columns)):
+                sums[i] = [to + np.frombuffer(x, np.int64) for to, x in zip(sums.get(i, (0, 0)), parts)]
+        for i, (t, bins) in sums.items():
+            n, different, nulls = map(int, t)
+            bins = bins.reshape(32, -1)
+            q = (bins * bins).sum(1) + nulls * nulls
+            yield pa.RecordBatch.from_pydict({"in_bit": pa.array([i] * 32, pa.int32()), "n": pa.array([n] * 32, pa.int64()), "collisions": pa.array([n - different] * 32, pa.int64()), "q": q.astype(float)})
+
+    per = same.mapInArrow(count, "in_bit int, totals binary, bins binary").repartition(min(in_bits, 16), "in_bit")
+    t = per.mapInArrow(merge, "in_bit int, n long, collisions long, q double")
+    score = _score(F.col("n").cast("double"), F.col("q"), float(1 << width))
+    return t.groupBy("in_bit", "n", "collisions").agg(F.max(score).alias("worst"))
 
 
 def key_list(rows: DataFrame, hashed, key: str, bits: int = 32) -> DataFrame:

@@ -346,3 +346,16 @@ def test_roundtrips_of_large_ids(spark, duck, tmp_path):
     # beyond three bytes the SQL of varint_wide holds, which varint_roundtrip's doesn't reach
     wide = registry.WIDTHS.replace("(1::BIGINT << (event_id % 63)::INT) + event_id", "event_id").replace("FROM events", f"FROM (SELECT unnest({ids})::BIGINT AS event_id)")
     assert dict(duck.sql(f"WITH {wide} SELECT event_id, encoded FROM e").fetchall()) == {i: short[i].encoded for i in ids}
+
+
+def test_differential_scores(spark):
+    rng = random.Random(2)
+    keys = [rng.randrange(1 << 20) for _ in range(300)] + [7, 7, None, None]
+    weak = lambda c: (c * 2654435761 + 77) % 2**32
+    got = hashstats.differential_scores(spark.createDataFrame([(k,) for k in keys], "k long").repartition(3), "k", weak, 6).collect()
+    assert len(got) == 6
+    for r in got:
+        h = [None if k is None else weak(k) ^ weak(k ^ 1 << r.in_bit) for k in keys]
+        # like in SQL a missing hash is no distinct one, and has a bin of its own
+        assert (r.n, r.collisions) == (len(h), len(h) - len(set(h) - {None}))
+        assert r.worst == max(_score([None if x is None else _window(x, s, 8) for x in h], 8) for s in range(32))
