@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.util import spread
-from .bits import flip_bit, get_bit, shl, window32
+from .bits import flip_bit, get_bit, shl
 
 # The counters below carry their own code to executors, which need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,49 +58,6 @@ def _score(k: Column, q: Column, bins) -> Column:
     return 1 - ((k * k - 1) / F.nullif(q - k, F.lit(0.0))) / bins
 
 
-def window_counts(rows: DataFrame, width: int, starts=range(32), h: str = "h", by: list[str] = []) -> DataFrame:
-    """(by, start, bin, b): keys of each window; counts are combined before the shuffle, empty bins have no row."""
-    each = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("start"), window32(F.col(h), s, width).alias("bin")) for s in starts])).alias("x")).select(*by, "x.*")
-    return each.groupBy(*by, "start", "bin").agg(F.count("*").cast("double").alias("b"))
-
-
-def folded(counts: DataFrame, width: int, least: int = 8, by: list[str] = []) -> DataFrame:
-    """window_counts for each width from `width` down to `least`: the upper half of the bins is added to the lower."""
-    w = F.explode(F.array(*[F.lit(i) for i in range(least, width + 1)]))
-    each = counts.select(*by, "start", "bin", "b", w.alias("width")).withColumn("bin", F.col("bin").bitwiseAND(shl(F.lit(1).cast("long"), F.col("width")) - 1))
-    return each.groupBy(*by, "start", "width", "bin").agg(F.sum("b").alias("b"))
-
-
-def scores(counts: DataFrame, by: list[str] = []) -> DataFrame:
-    """(by, start, width, score) of folded counts: 0 is even."""
-    t = counts.groupBy(*by, "start", "width").agg(F.sum("b").alias("k"), F.sum(F.col("b") * F.col("b")).alias("q"))
-    return t.select(*by, "start", "width", _score(F.col("k"), F.col("q"), F.pow(F.lit(2.0), "width")).alias("score"))
-
-
-def window_scores(rows: DataFrame, width: int, starts=range(32), h: str = "h", by: list[str] = []) -> DataFrame:
-    """(by, start, width, score) of windows of one width."""
-    return scores(window_counts(rows, width, starts, h, by).withColumn("width", F.lit(width)), by)
-
-
-def widest(n: int, most: int = 20, keys: int = 5) -> int:
-    """The largest window width, to `most`, that leaves so many keys a bin."""
-    return next((w for w in range(most, 0, -1) if n >= keys << w), 0)
-
-
-def worst_over_widths(rows: DataFrame, h: str = "h", least: int = 8) -> DataFrame:
-    """(start, width, score, biased): the worst window over all starts and widths with five keys a bin; biased from one per cent on.
-
-    Keys are counted once, at the widest windows, and the counts folded; no row with too few keys."""
-    w = widest(rows.count())
-    counts = window_counts(rows, max(w, least), h=h)
-    return worst_window(scores(folded(counts, max(w, least), least)).where(F.lit(w >= least))).where("start is not null").withColumn("biased", F.col("score") >= 0.01)
-
-
-def fast_scores(rows: DataFrame, h: str = "h") -> DataFrame:
-    """(worst, mean) of the 16-bit windows at byte starts."""
-    return window_scores(rows, 16, range(0, 32, 8), h).agg(F.max("score").alias("worst"), F.avg("score").alias("mean"))
-
-
 def _turned(words: np.ndarray, start: int, width: int) -> np.ndarray:
     """window32 of 32-bit words."""
     x = (words >> np.uint32(start) | words << np.uint32(32 - start)) if start else words
@@ -178,6 +135,81 @@ def _lanes(rows: DataFrame, h: str, lanes: int, count, schema: str) -> DataFrame
     return each.repartitionById(lanes, F.col("lane")).mapInArrow(one, schema)
 
 
+def _windows(rows: DataFrame, width: int, starts, h: str, emit, schema: str) -> DataFrame:
+    """Rows of emit(start, bins, nulls) for the windows at all starts.
+
+    A lane counts in an array windows that are three bits wider, and hold those of four starts."""
+    wide = min(32, width + 3)
+    cover = _cover(starts, wide - width)
+    firsts = list(cover)
+
+    def count(lane, blocks):
+        first = firsts[lane]
+        bins, nulls = np.zeros(1 << wide, np.int64), 0
+        for words, none in blocks:
+            nulls += none
+            bins += np.bincount(_turned(words, first, wide), minlength=1 << wide)
+        for s in cover[first]:
+            yield from emit(s, _inner(bins, s - first, width), nulls)
+
+    return _lanes(rows, h, len(firsts), count, schema)
+
+
+def window_counts(rows: DataFrame, width: int, starts=range(32), h: str = "h") -> DataFrame:
+    """(start, bin, b): keys of each window; empty bins have no row, missing hashes one of their own."""
+
+    def emit(start, bins, nulls):
+        full = np.flatnonzero(bins)
+        for i in range(0, len(full), COUNTED):
+            part = full[i:i + COUNTED]
+            yield pa.RecordBatch.from_pydict({"start": pa.array(np.full(len(part), start, np.int32)), "bin": part.astype(np.int64), "b": bins[part].astype(float)})
+        if nulls:
+            yield pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int32()), "bin": pa.array([None], pa.int64()), "b": pa.array([float(nulls)])})
+
+    return _windows(rows, width, starts, h, emit, "start int, bin long, b double")
+
+
+def folded(counts: DataFrame, width: int, least: int = 8) -> DataFrame:
+    """window_counts for each width from `width` down to `least`: the upper half of the bins is added to the lower."""
+    w = F.explode(F.array(*[F.lit(i) for i in range(least, width + 1)]))
+    each = counts.select("start", "bin", "b", w.alias("width")).withColumn("bin", F.col("bin").bitwiseAND(shl(F.lit(1).cast("long"), F.col("width")) - 1))
+    return each.groupBy("start", "width", "bin").agg(F.sum("b").alias("b"))
+
+
+def window_scores(rows: DataFrame, width: int, starts=range(32), h: str = "h", least: int | None = None) -> DataFrame:
+    """(start, width, score) of windows of one width, or of all from it down to `least`: 0 is even.
+
+    A task folds the counts of its starts, the upper half of the bins added to the lower, and sends one row a window."""
+    to = width if least is None else least
+
+    def emit(start, bins, nulls):
+        for w in range(width, to - 1, -1):
+            k, q = int(bins.sum()) + nulls, int((bins * bins).sum()) + nulls * nulls
+            yield pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int32()), "width": pa.array([w], pa.int32()), "k": pa.array([float(k)]), "q": pa.array([float(q)])})
+            bins = bins.reshape(2, -1).sum(0)
+
+    t = _windows(rows, width, starts, h, emit, "start int, width int, k double, q double")
+    return t.select("start", "width", _score(F.col("k"), F.col("q"), F.pow(F.lit(2.0), "width")).alias("score"))
+
+
+def widest(n: int, most: int = 20, keys: int = 5) -> int:
+    """The largest window width, to `most`, that leaves so many keys a bin."""
+    return next((w for w in range(most, 0, -1) if n >= keys << w), 0)
+
+
+def worst_over_widths(rows: DataFrame, h: str = "h", least: int = 8) -> DataFrame:
+    """(start, width, score, biased): the worst window over all starts and widths with five keys a bin; biased from one per cent on.
+
+    Keys are counted once, at the widest windows, and the counts folded; no row with too few keys."""
+    w = widest(rows.count())
+    return worst_window(window_scores(rows, max(w, least), h=h, least=least).where(F.lit(w >= least))).where("start is not null").withColumn("biased", F.col("score") >= 0.01)
+
+
+def fast_scores(rows: DataFrame, h: str = "h") -> DataFrame:
+    """(worst, mean) of the 16-bit windows at byte starts."""
+    return window_scores(rows, 16, range(0, 32, 8), h).agg(F.max("score").alias("worst"), F.avg("score").alias("mean"))
+
+
 def byte_pairs(rows: DataFrame, starts=range(32), h: str = "h") -> DataFrame:
     """(a, b, score) of the 65,536 bins of two 8-bit windows, a <= b; the order of a pair makes no difference.
 

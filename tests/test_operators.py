@@ -359,3 +359,18 @@ def test_differential_scores(spark):
         # like in SQL a missing hash is no distinct one, and has a bin of its own
         assert (r.n, r.collisions) == (len(h), len(h) - len(set(h) - {None}))
         assert r.worst == max(_score([None if x is None else _window(x, s, 8) for x in h], 8) for s in range(32))
+
+
+def test_windows_over_widths(spark):
+    h, d = _hashes(spark, 3000)
+    w = hashstats.widest(len(h))
+    plan = hashstats.window_scores(d, w, least=w - 2)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in text and "struct(" not in text  # a row a key and start was made and all bins of all starts grouped by each task
+    want = {(s, v): _score([None if x is None else _window(x, s, v) for x in h], v) for s in range(32) for v in range(w - 2, w + 1)}
+    assert {(r.start, r.width): r.score for r in plan.collect()} == want
+    worst = hashstats.worst_over_widths(d, least=w - 2).first()
+    assert (worst.start, worst.width) == min(want, key=lambda k: (-want[k], *k)) and worst.score == max(want.values())
+    counts = Counter((s, None if x is None else _window(x, s, 11)) for x in h for s in (0, 30))
+    assert {(r.start, r.bin): r.b for r in hashstats.window_counts(d, 11, [0, 30]).collect()} == counts
+    assert hashstats.worst_over_widths(d.limit(5)).count() == 0
