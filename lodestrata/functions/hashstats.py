@@ -295,7 +295,9 @@ def differential_scores(rows: DataFrame, key: str, hashed, in_bits: int, width:
 def key_list(rows: DataFrame, hashed, key: str, bits: int = 32) -> DataFrame:
     """(n, collisions, expected, ok, start, width, score, biased): all keys hashed, then the collision and the distribution test."""
     h = rows.select(hashed(F.col(key)).alias("h"))
-    return collisions(h, bits=bits).crossJoin(worst_over_widths(h))
+    # nearly all hashes differ, so that a task's size sets the memory it counts them in
+    dealt = spread(rows.select(key), 1 << 20).select(hashed(F.col(key)).alias("h"))
+    return collisions(dealt, bits=bits).crossJoin(worst_over_widths(h))
 
 
 def worst_window(scores: DataFrame) -> DataFrame:
